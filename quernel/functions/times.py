@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-EDGE_BLANKS = "^[\\s\\u00a0\\u2000-\\u200b\\u3000\\ufeff]+|[\\s\\u00a0\\u2000-\\u200b\\u3000\\ufeff]+$"
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 INSTANT = "^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}(?::\\d{2}(?:[.,]\\d{1,9})?)?(?:Z|[+-]\\d{2}:?\\d{2})?$"
 
 
 def tidy(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, EDGE_BLANKS, "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def instant_micros(c: Column) -> Column:
@@ -20,7 +20,8 @@ def instant_micros(c: Column) -> Column:
     up to 18 hours.
     """
     s = tidy(c)
-    zoned = F.concat(F.replace(s, F.lit(","), F.lit(".")), F.when(s.rlike("(?:Z|[+-]\\d{2}:?\\d{2})$") & (F.length(s) > 16), "").otherwise("Z"))
+    offset = (F.substring(s, -1, 1) == "Z") | F.substring(s, -6, 1).isin("+", "-") | F.substring(s, -5, 1).isin("+", "-")
+    zoned = F.concat(F.translate(s, ",", "."), F.when(offset & (F.length(s) > 16), "").otherwise("Z"))
     return F.unix_micros(F.when(s.rlike(INSTANT), zoned).try_cast("timestamp"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quernel.functions.times import instant_micros, tidy, utc_day
+from quernel.session import checkpointed
 
 
 def daily_totals(rows: DataFrame, entity: Sequence[str], day: str, sums: Mapping[str, Column]) -> DataFrame:
@@ -69,9 +70,9 @@ def ledger_trailing(entries: DataFrame, windows: Sequence[int] = (7, 30)) -> Dat
     calls = ledger_calls(entries)
     names = ["calls", "cost", "duration_ms"]
     daily = daily_totals(calls, ["provider", "model"], "day", {"calls": F.lit(1).cast("bigint"), "cost": F.col("cost"), "duration_ms": F.coalesce("duration_ms", F.lit(0))})
-    # the last day needs no distinct calls, so this second look at the ledger reads two columns and shuffles nothing
-    model = tidy(F.col("model"))
-    last = entries.filter(model != "").select(F.max(utc_day(instant_micros(F.col("entry_ts")))).alias("d")).scalar()
+    # a row per entity and day with calls, read three times from here on: the ledger itself is read once
+    daily = checkpointed(daily)
+    last = daily.select(F.max("day")).scalar()
     totals = trailing_totals(daily, ["provider", "model"], names, windows, last)
     out = [F.col("provider"), F.col("model"), F.col("day")]
     for w in windows:
