@@ -5,20 +5,133 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernel.llm.batchdedup import check_batch
+from quernel.llm.conversations import dropped_rollouts, dropped_sessions, kept_turns, rollout_lines, session_lines
+from quernel.llm.mixing import mix_sources
+from quernel.llm.packing import container_report, pack_documents
 from quernel.llm.sentences import sentence_units
+from quernel.llm.splitting import split_oversized
 from quernel.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections over 6,000 bytes."""
+    return split_oversized(table(spark, sf_dir, "articles"), with_text=False).filter("piece_no = 1").select("article_id", "section_no")
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the sections over 6,000 bytes, with their places and texts."""
+    return split_oversized(table(spark, sf_dir, "articles"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each queued entry that repeats an accepted one, with the one it repeats."""
     checked, _ = check_batch(table(spark, sf_dir, "queue_entries"))
     return checked.filter(F.col("repeats").isNotNull()).select(F.col("repeats").alias("entry_id_a"), F.col("entry_id").alias("entry_id_b"))
 
 
+def p4_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that are new."""
+    checked, _ = check_batch(table(spark, sf_dir, "queue_entries"))
+    return checked.filter(F.col("repeats").isNull()).select("entry_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations to drop."""
+    sessions = dropped_sessions(table(spark, sf_dir, "sessions"), table(spark, sf_dir, "messages"))
+    return sessions.unionByName(dropped_rollouts(table(spark, sf_dir, "rollout_lines"))).distinct()
+
+
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of the conversations that are whole, in order, with their speakers."""
+    sessions, messages, rollouts = (table(spark, sf_dir, t) for t in ("sessions", "messages", "rollout_lines"))
+    a = kept_turns(session_lines(sessions, messages), dropped_sessions(sessions, messages))
+    return a.unionByName(kept_turns(rollout_lines(rollouts), dropped_rollouts(rollouts)))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, or piece of one over 2,048 tokens, with its container."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return container_report(pack_documents(table(spark, sf_dir, "documents")))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as it is in it."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of each sentence unit of each text."""
     return sentence_units(table(spark, sf_dir, "documents")).select("doc_id", "end_char")
 
 
-QUERIES = {"p4_found": p4_found, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_accepted": p4_accepted, "p5_found": p5_found, "p5_turns": p5_turns,
+    "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found,
+}
+
+_SECTIONS = """
+with lines as (
+  select article_id, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as n, len(string_split(body, chr(10))) as all_lines
+  from articles where body is not null and body <> ''
+), marked as (
+  select *, regexp_matches(line, '^#{1,3}[ \\t]+[^\\s]') as head, strlen(line) + case when n < all_lines then 1 else 0 end as size from lines
+), placed as (
+  select article_id, sum(head::int) over (partition by article_id order by n) as section_no, size from marked
+), sections as (
+  select article_id, cast(section_no as int) as section_no, sum(size) as size from placed group by all
+)
+"""
+_TURNS = """
+with said as (
+  select session_id, type, text_content, content, coalesce(sequence, 0) as number, min(id) as tie
+  from messages where session_id is not null group by all
+), session_rows as (
+  select s.session_id as conv_id, number, tie, lower(trim(type, ' \t\n\r')) as role, coalesce(trim(text_content, ' \t\n\r') <> '', false) as has_text
+  from said m join sessions s on m.session_id = s.id
+), session_shape as (
+  select conv_id, min(number) as low, max(number) as high, count(*) as n, count(distinct number) as different from session_rows group by conv_id
+), raw as (
+  select rollout_id as conv_id, line_no as number, type as line, payload, min(line_id) as tie from rollout_lines group by all
+), read as (
+  select conv_id, number, line, tie, case when json_valid(payload) then payload::json end as p from raw
+), parts as (
+  select conv_id, number, tie, json_extract_string(p, '$.role') as role, unnest(json_extract(p, '$.content[*]')) as part
+  from read where line = 'response_item' and json_extract_string(p, '$.type') = 'message'
+), rollout_rows as (
+  select conv_id, number, tie, lower(trim(role, ' \t\n\r')) as role,
+    bool_or(json_extract_string(part, '$.type') in ('input_text', 'output_text') and trim(regexp_replace(json_extract_string(part, '$.text'), '(?s)<environment_context>.*?(</environment_context>|$)', '', 'g'), ' \t\n\r') <> '') as has_text
+  from parts group by conv_id, number, tie, role
+), turns as (
+  select conv_id, number, tie, role from session_rows where has_text and role in ('user', 'assistant')
+  union all select conv_id, number, tie, role from rollout_rows where has_text and role in ('user', 'assistant')
+), steps as (
+  select conv_id, role, lag(role) over w as before, lead(role) over w as after from turns window w as (partition by conv_id order by number, tie)
+), unanswered as (
+  select distinct conv_id from steps where (before is null and role <> 'user') or (role = 'user' and coalesce(after, '') <> 'assistant')
+), names as (
+  select session_id as conv_id from sessions where session_id is not null union select rollout_id from rollout_lines where rollout_id is not null
+), tasks as (
+  select conv_id, json_extract_string(p, '$.turn_id') as turn, bool_or(json_extract_string(p, '$.type') = 'task_started') as started, bool_or(json_extract_string(p, '$.type') = 'task_complete') as complete
+  from read where line = 'event_msg' and json_extract_string(p, '$.turn_id') is not null group by all
+), rollout_shape as (
+  select conv_id, min(number) as low, max(number) as high, count(distinct number) as different, bool_or(number = 0 and line = 'session_meta' and p is not null) as meta from read group by conv_id
+)
+"""
+SQL = {
+    "p1_found": _SECTIONS + "select article_id, section_no from sections where size > 6000",
+    "p5_found": _TURNS
+    + """select conv_id from names where conv_id not in (select conv_id from turns)
+    union select conv_id from unanswered
+    union select conv_id from session_shape where not (low = 0 and high = 0) and (n <> different or high - low + 1 <> different)
+    union select conv_id from rollout_shape where not (low = 0 and high + 1 = different and meta)
+    union select conv_id from tasks where started and not complete""",
+}
