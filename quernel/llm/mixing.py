@@ -1,7 +1,7 @@
 """Mixes sources so that each has its share of all tokens.
 
-Systematic sampling: each document of a source has the same expected number of copies; the documents stand in a random
-order, the prefix sum of expected copies runs through it from one random offset per source, and a document is emitted once for
+Systematic sampling: each document of a source has the same expected number of copies; the documents stand in order of
+size, the prefix sum of expected copies runs through it from one random offset per source, and a document is emitted once for
 each whole number its step crosses. A document thus comes out the expected number rounded down or up, never more.
 """
 
@@ -50,14 +50,18 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     copies = F.when((F.col("available_tokens") > 0) & (F.col("target_share") > 0), F.least(F.col("max_repeats").cast("double"), F.lit(float(total_tokens)) * F.col("target_share") / F.col("available_tokens"))).otherwise(0.0)
     plan = plan.withColumn("copies", copies).withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) / float(1 << 30))
 
-    # ranks in a random order, source by source: counted in buckets of bounded size, which a prefix sum of their sizes joins up
-    buckets = max(1, -(-sized.count() // ROWS_A_BUCKET))
+    # ranks by size, source by source: along sizes, any stretch of copies holds small and large documents in proportion, so
+    # the tokens come out near their expectation. They are counted in buckets of like sizes, cut by a hash to a bounded
+    # number of rows, which a prefix sum of the buckets' rows joins up.
+    cuts = max(1, -(-sized.count() // ROWS_A_BUCKET))
     h = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    placed = checkpointed(sized.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets)).cast("int")))
+    bucket = F.struct(F.floor(F.log2("tokens") * 16).cast("int").alias("size"), F.pmod(F.shiftright("h", 8), F.lit(cuts)).cast("int").alias("cut"))
+    placed = checkpointed(sized.withColumn("h", h).withColumn("bucket", bucket))
     sizes = placed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = sizes.select("source", "bucket", before.alias("shift"))
-    ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h"))).join(shifts, ["source", "bucket"]).join(plan.select("source", "copies", "offset"), "source")
+    inner = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("tokens", "h"))
+    ranked = placed.withColumn("r", inner).join(shifts, ["source", "bucket"]).join(plan.select("source", "copies", "offset"), "source")
     rank = F.col("r") + F.col("shift")
     emitted = F.floor(rank * F.col("copies") + F.col("offset")) - F.floor((rank - 1) * F.col("copies") + F.col("offset"))
     mix = ranked.withColumn("times", emitted.cast("int")).filter("times > 0").select(F.col("k").alias(id_col), "source", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_no"), "tokens")

@@ -8,6 +8,7 @@ from quernel.llm.batchdedup import check_batch
 from quernel.llm.conversations import dropped_rollouts, dropped_sessions, kept_turns, rollout_lines, session_lines
 from quernel.llm.mixing import mix_sources
 from quernel.llm.packing import container_report, pack_documents
+from quernel.llm.residue import classify_messages, page_body, residue
 from quernel.llm.sentences import sentence_units
 from quernel.llm.splitting import split_oversized
 from quernel.session import table
@@ -23,6 +24,18 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "articles"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetches that hold no real page, or an unfilled placeholder."""
+    return residue(table(spark, sf_dir, "fetches")).select("fetch_id")
+
+
+def p3_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different messages of all bodies that recur on three hosts or more, with their class."""
+    fetches = table(spark, sf_dir, "fetches")
+    bodies = fetches.select(F.col("fetch_id").alias("id"), F.lower(F.regexp_extract("url", "//([^/?#]*)", 1)).alias("host"), page_body("content", "markdown", "text").alias("body"))
+    return classify_messages(bodies.filter("body is not null")).filter("hosts >= 3").select("message", "times", "hosts", "class")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each queued entry that repeats an accepted one, with the one it repeats."""
     checked, _ = check_batch(table(spark, sf_dir, "queue_entries"))
@@ -74,7 +87,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_accepted": p4_accepted, "p5_found": p5_found, "p5_turns": p5_turns,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p4_accepted": p4_accepted, "p5_found": p5_found, "p5_turns": p5_turns,
     "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found,
 }
 
