@@ -126,7 +126,7 @@ def message_class(text: str | None, hosts: int = 1) -> str:
         return "weak"
     if len(words) <= 16 and SURELY_WEAK.search(low):
         return "weak"
-    if len(words) <= 16 and ADVICE.search(low) and (hosts >= 3 or re.search(r"\b(?:you|your|this|again|back|later|reload|retry|owner|address|page|sorry|sign in|search|help|browsers?|cookies)\b", low)):
+    if len(words) <= 16 and ADVICE.search(low) and (hosts >= 3 or re.search(r"\b(?:you|your|this|again|back|later|reload|retry|owner|address|page|request|moment|sorry|sign in|search|help|browsers?|cookies)\b", low)):
         return "weak"
     return "own"
 
