@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # Tokens that end in a full stop and never end a sentence (lower case, without the last stop).
 NEVER = frozenset(
-    """mr mrs ms dr prof st ver eds vs cf e.g i.e viz approx resp messrs
+    """mr mrs ms dr prof sr st ver eds vs cf e.g i.e viz approx resp messrs
     z.b d.h u.a nr vgl s bzw ggf evtl hr hrn bsp zzgl inkl ca o.g u.u i.d.r sog str
     m mme mlle mm env p.ex av éd
     sra dra srta ud uds pág págs p.ej aprox núm lic ing
@@ -36,7 +36,7 @@ NEVER = frozenset(
 )
 # Tokens that end in a full stop and end a sentence only if a new one opens after them.
 MAYBE = frozenset(
-    """etc a.m p.m inc ltd co corp bros al jr sr est pts dept jan feb mar apr jun jul aug sep sept oct nov dec
+    """etc a.m p.m inc ltd co corp bros al jr est pts dept jan feb mar apr jun jul aug sep sept oct nov dec
     usw u.s.w mio mrd std gmbh uhr jh
     min janv févr juil
     т.д т.п др г гг в вв руб млн млрд им
@@ -288,10 +288,13 @@ def _keeps(block: str, m: re.Match, unit: int, inside: list[tuple[int, int, int]
     word = WORD_BEFORE.search(block, max(unit, at - 40), at)
     token = word.group() if word else ""
     low = token.lower()
+    if low not in NEVER and re.search("['’]", low) and re.split("['’]", low)[-1] in NEVER and len(re.split("['’]", low)[-1]) > 1:
+        low = re.split("['’]", low)[-1]
     if len(token) <= 3:  # abbreviations written with spaces, as "z. B."
         joined = STOPPED.search(block[max(unit, at - 16) : at + 1])
         if joined and joined.group(1).count(".") > 1:
-            low = re.sub("[ \u00a0\u202f]", "", joined.group(1)).rstrip(".").lower()
+            whole = re.sub("[ \u00a0\u202f]", "", joined.group(1)).rstrip(".").lower()
+            low = whole if whole in NEVER or whole in MAYBE else low
     if low in MAYBE:
         if opens == 3 or not opens:
             return end if opens == 3 else None
@@ -302,6 +305,8 @@ def _keeps(block: str, m: re.Match, unit: int, inside: list[tuple[int, int, int]
         return None
     if low in NUMBERED and rest[0].isdigit() or low in TITLES and token[:1].isupper() and rest[0].isupper():
         return None
+    if len(token) == 1 and token.isalpha() and re.match("\\w{1,3}\\.", rest):
+        return None  # an abbreviation written with spaces goes on
     if len(token) == 1 and token.isupper():
         before = re.search("(\\w+)\\s+$", block[unit : at - 1])
         if not (before and before.group(1).lower() in LABELS):
