@@ -62,15 +62,13 @@ def anchor_slug(c: Column) -> Column:
     return F.when(s == "", "section").otherwise(s)
 
 
-def density_class(c: Column) -> Column:
+def density_class(words: Column, heads: Column) -> Column:
     """dense from 2,000 words or 4 headings, brief under 500 words with at most one heading, else standard."""
-    words, heads = word_count(c), heading_count(c)
     return F.when((words >= 2000) | (heads >= 4), "dense").when((words < 500) & (heads <= 1), "brief").otherwise("standard")
 
 
-def index_tier(c: Column, sections: Column) -> Column:
+def index_tier(words: Column, sections: Column) -> Column:
     """stub to 80 words, brief to 199, standard to 1,999 (deep with 5 sections or more), else deep."""
-    words = word_count(c)
     return F.when(words <= 80, "stub").when(words <= 199, "brief").when((words <= 1999) & (sections < 5), "standard").otherwise("deep")
 
 

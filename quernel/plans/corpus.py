@@ -157,8 +157,9 @@ _MEASURED = f"(select doc_id, {_WORDS.format(c='text')} as words, {_HEADS.format
 @query(f"select doc_id, cast(words as int) as words, cast(heads as int) as heads, case when words >= 2000 or heads >= 4 then 'dense' when words < 500 and heads <= 1 then 'brief' else 'standard' end as density, case when words <= 80 then 'stub' when words <= 199 then 'brief' when words <= 1999 and heads < 5 then 'standard' else 'deep' end as tier from {_MEASURED}")
 def density_and_tier(spark: SparkSession, d: str) -> DataFrame:
     """Words, headings, density class and index tier of each document."""
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.word_count(t).alias("words"), X.heading_count(t).alias("heads"), X.density_class(t).alias("density"), X.index_tier(t, X.heading_count(t)).alias("tier"))
+    measured = table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.heading_count(F.col("text")).alias("heads"))
+    words, heads = F.col("words"), F.col("heads")
+    return measured.select("doc_id", words, heads, X.density_class(words, heads).alias("density"), X.index_tier(words, heads).alias("tier"))
 
 
 _NORMAL = "trim(lower(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace({c}, chr(13), ''), chr(10)), lambda x: trim(x)), lambda x: not starts_with(x, '<!--') and not starts_with(x, '```')), ' '), '\\s+', ' ', 'g')))"
