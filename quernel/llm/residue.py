@@ -28,18 +28,19 @@ FILLER_WORDS = frozenset(LATIN_FILLER + LAYOUT_FILLER + KEYBOARD_FILLER)
 ORDINARY = frozenset("in ex do ad et sit ut id est non test testing abc sed qui sunt aliqua ea culpa bar erro ratio".split())
 
 # Forms of placeholders, as regular expressions that Java and Python read alike.
-PLACEHOLDER = "|".join(
+# The look-ahead rejects most places of a text by their first character.
+PLACEHOLDER = r"(?=[\[{(<$#%@_XTF])(?:" + "|".join(
     [
         r"\{\{\{?\s*\w[\w.|\s-]{0,60}?\s*\}?\}\}", r"\$\{\s*[\w.]+\s*\}", r"#\{\s*[\w.]+\s*\}", r"%\([\w.]+\)[sdif]", r"<%[=-]?\s*[\w.]+\s*%>", r"<\?=\s*\$?[\w.>-]+;?\s*\?>", r"\{%-?\s*[\w.]+\s*-?%\}",
         r"\[\[%[\w.]+%\]\]", r"\[%\s*[\w.]+\s*%\]", r"(?<![\w_])__[A-Z][A-Z0-9_.]*[A-Z0-9]__(?![\w_])", r"@@[\w.]+@@", r"(?<![\w%])%[A-Z][A-Z0-9_.]+%(?!\w)", r"(?<![\w$])\$[A-Z][A-Z0-9_.]+\$(?!\w)",
         r"\bXX_[A-Z0-9_.]+_XX\b", r"\[(?i:insert|your|enter|add|my) [\w.' -]{1,40}\]", r"\[(?i:title|name|first name|company|date|author|city|product) here\]", r"\b(?:TODO|FIXME|TBD):? (?:add|insert|fill in|write|put|set) [\w.]+", r"\[object Object\]",
         r"<[A-Z][A-Z0-9]*(?:[_.][A-Z0-9]+)+>", r"<(?:TITLE|COMPANY|NAME|AUTHOR|DATE|CITY|PRODUCT|COUNT|YEAR|PLAN|HEADING|BODY|USER|EMAIL|USERNAME|ID|PRICE|ADDRESS)>", r"\((?:[\w.]+(?: [\w.]+){0,2}) goes here\)", r"(?<![\w$#%\\{}])\{[A-Za-z][\w]*(?:\.\w+)+\}(?!\})", r"(?<![\w$#%\\{}])\{[A-Za-z][\w]{2,}\}(?!\})",
     ]
-)
+) + ")"
 CODE = r"(?s)(?:^|\n)[ ]{0,3}(```|~~~).*?(?:\n[ ]{0,3}\1[^\n]*|\z)|<(pre|code)>.*?</\2>|`[^`\n]+`"
 QUOTED = r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»|「[^」\n]{1,300}」|‘[^’\n]{1,300}’"
 FENCED = r"(?s)(?:^|\n)[ ]{0,3}(```|~~~).*?(?:\n[ ]{0,3}\1[^\n]*|\z)"
-UNIT = r"\s*\n\s*|(?<=[.!?…؟।][\"'”’»」』)\]]{0,2})\s+|(?<=[。！？][”’」』]{0,1})(?![”’」』])"
+UNIT = r"\s*\n\s*|\s(?<=[.!?…؟।][\"'”’»」』)\]]{0,2}\s)\s*|(?<=[。！？])[”’」』]?"
 
 _THING = r"(?:page|post|view|file|resource|document|article|address|content|link|site|website|token|session|visit|connection|upstream|host|database|servers?|requests?|record|item|service|url|path|account|backend|proxy|key|certificate|image|video|story|entry|section|portal|application)"
 _ERRORS = [
@@ -138,10 +139,11 @@ def _class(text: pd.Series, hosts: pd.Series) -> pd.Series:
 
 def masked(c: Column) -> Column:
     """A message with addresses, e-mail addresses, dates, ids and numbers as ``#`` and white space as single blanks."""
-    c = F.regexp_replace(c, "https?://\\S+|www\\.\\S+", "#")
-    c = F.regexp_replace(c, "[\\w.+-]+@[\\w-]+\\.[\\w.]+", "#")
-    c = F.regexp_replace(c, "\\b(?=[a-z]*\\d)(?=\\d*[a-z])[a-z0-9]{6,}\\b", "#")
-    c = F.regexp_replace(c, "\\d+(?:[.,:/-]\\d+)*", "#")
+    # most messages hold neither addresses nor digits, so the dearer patterns are tried on the others only
+    web = F.regexp_replace(F.regexp_replace(c, "https?://\\S+|www\\.\\S+", "#"), "[\\w.+-]+@[\\w-]+\\.[\\w.]+", "#")
+    c = F.when(c.contains("://") | c.contains("www.") | c.contains("@"), web).otherwise(c)
+    bare = F.regexp_replace(F.regexp_replace(c, "\\b(?=[a-z]*\\d)(?=\\d*[a-z])[a-z0-9]{6,}\\b", "#"), "\\d+(?:[.,:/-]\\d+)*", "#")
+    c = F.when(c.rlike("\\d"), bare).otherwise(c)
     return F.trim(F.regexp_replace(c, "\\s+", " "))
 
 
