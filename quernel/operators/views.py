@@ -76,7 +76,7 @@ def _compare(c: Column, kind: T.DataType, op: str, value: Any) -> Column:
     return F.when(number.isNotNull(), getattr(number, call)(F.lit(n))).otherwise(getattr(s, call)(F.lit(str(value))))
 
 
-def _leaf(df: DataFrame, node: dict[str, Any]) -> Column:
+def _leaf(df: DataFrame, node: dict[str, Any], negated: bool) -> Column:
     name, op, value = node["field"], node["op"], node.get("value")
     if name not in df.columns:
         return F.lit(op == "missing")
@@ -95,18 +95,19 @@ def _leaf(df: DataFrame, node: dict[str, Any]) -> Column:
         found = F.lower(text_of(c, kind)).contains(str(value).lower())
     else:
         found = _compare(c, kind, op, value)
-    return F.coalesce(found & c.isNotNull(), F.lit(False))
+    # a filter drops null like false, so only a leaf under a negation needs a value, and the others stay fit for pushdown
+    return F.coalesce(found & c.isNotNull(), F.lit(False)) if negated else found & c.isNotNull()
 
 
-def compile_filter(df: DataFrame, node: dict[str, Any]) -> Column:
+def compile_filter(df: DataFrame, node: dict[str, Any], negated: bool = False) -> Column:
     """A filter tree as a condition on df. An empty node holds; and comes before or, or before not."""
     if node.get("and"):
-        return reduce(Column.__and__, [compile_filter(df, n) for n in node["and"]])
+        return reduce(Column.__and__, [compile_filter(df, n, negated) for n in node["and"]])
     if node.get("or"):
-        return reduce(Column.__or__, [compile_filter(df, n) for n in node["or"]])
+        return reduce(Column.__or__, [compile_filter(df, n, negated) for n in node["or"]])
     if node.get("not"):
-        return ~compile_filter(df, node["not"])
-    return _leaf(df, node) if "field" in node else F.lit(True)
+        return ~compile_filter(df, node["not"], True)
+    return _leaf(df, node, negated) if "field" in node else F.lit(True)
 
 
 def run_view(df: DataFrame, view: View, path: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Folders of a corpus that hold its articles.
@@ -14,15 +18,37 @@ LEDGER = T.StructType(
 )
 
 
+def _read_hidden(spark: SparkSession, root: str) -> DataFrame:
+    """rel and text of Markdown files whose names begin with an underscore, which Spark's own readers pass over.
+
+    Only names are listed on the driver, as Spark does for any folder; the files are read by tasks.
+    """
+    system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    base = base.rstrip("/")
+    found = [f.path for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.base_name.startswith("_") and f.base_name.endswith(".md")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        disk, _ = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for b in batches:
+            for path in b["path"]:
+                with disk.open_input_stream(path) as f:
+                    yield pd.DataFrame({"rel": [path[len(base) + 1 :]], "text": [f.read().decode("utf-8", "replace")]})
+
+    paths = spark.createDataFrame([(p,) for p in found], "path string").repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism)))
+    return paths.mapInPandas(read, "rel string, text string")
+
+
 def read_articles(spark: SparkSession, root: str, with_underscored: bool = False) -> DataFrame:
-    """rel, front, body of each Markdown file under root, split at the front matter; hidden files are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
-    rel = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + root.rstrip("/").replace("\\", "") + "/", "")
+    """rel, front, body of each Markdown file under root, split at the front matter; hidden files are left out.
+
+    Files whose names begin with an underscore come only if asked for.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
+    rel = F.regexp_replace(F.col("_metadata.file_path"), "^.*?\\Q" + root.rstrip("/") + "/\\E", "")
     rows = raw.select(rel.alias("rel"), F.col("value").alias("text"))
-    name = F.element_at(F.split("rel", "/"), -1)
+    if with_underscored:
+        rows = rows.unionByName(_read_hidden(spark, root))
     rows = rows.filter(~F.col("rel").rlike("(^|/)\\."))
-    if not with_underscored:
-        rows = rows.filter(~name.startswith("_"))
     front = F.regexp_extract("text", "(?s)\\A---\\r?\\n(.*?)\\r?\\n---[ \\t]*(?:\\r?\\n|\\z)", 1)
     return rows.select("rel", front.alias("front"), F.regexp_replace("text", "(?s)\\A---\\r?\\n.*?\\r?\\n---[ \\t]*(?:\\r?\\n|\\z)", "").alias("body"))
 
@@ -55,7 +81,7 @@ def append_ledger(rows: DataFrame, root: str, day: str = "day") -> None:
 
 def read_queue(spark: SparkSession, root: str) -> DataFrame:
     """Queue files of ``key: value`` lines as maps; the last value of a repeated key stays."""
-    raw = spark.read.option("wholetext", True).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     pairs = F.filter(F.transform(F.split("value", "\\r?\\n"), lambda l: F.split(l, ":\\s*", 2)), lambda p: (F.size(p) == 2) & (F.trim(p[0]) != ""))
     keep = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != F.trim(p[0])), F.create_map(F.trim(p[0]), F.trim(p[1]))))
     return raw.select("path", keep.alias("fields"))
