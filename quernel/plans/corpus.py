@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernel.functions import text as X
-from quernel.operators import dedup, graph, ledgers, merge, segment, sessions as S
+from quernel.functions.paths import folder, segments
+from quernel.operators import dedup, graph, intake, ledgers, merge, segment, sessions as S
 from quernel.operators.views import View, run_view
 from quernel.session import table
 
@@ -331,3 +332,38 @@ def hot_topk(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("project_path").orderBy(F.col("updated_at").desc(), "session_id")
     s = table(spark, d, "sessions").filter("project_path is not null and updated_at is not null")
     return s.withColumn("k", F.row_number().over(w)).filter("k <= 3").select("project_path", "session_id", "summary")
+
+
+@query("select url, min(entry_id) as entry_id from queue_entries where trim(url) <> '' and not contains(url, 'field-almanac') and (list_contains(list_transform(tags, lambda x: lower(trim(x))), 'sync') or list_contains(list_transform(tags, lambda x: lower(trim(x))), 'ops')) "
+       "and entry_id in (select min(entry_id) from queue_entries where trim(url) <> '' group by url) group by url")
+def bookmark_pull(spark: SparkSession, d: str) -> DataFrame:
+    """Queued bookmarks with a wanted tag, each address once, without those of a skipped host."""
+    q = table(spark, d, "queue_entries").filter("trim(url) <> ''").withColumn("none", F.lit(""))
+    seen = spark.createDataFrame([], "key string")
+    fresh, _ = intake.pull(q, seen, id_col="none", url_col="url", order=["entry_id"], skip=["field-almanac"], tags=["Sync", "ops"])
+    return fresh.select("url", "entry_id")
+
+
+@query("select domain, count(distinct rel) as touched from articles where domain is not null group by 1")
+def domain_touches(spark: SparkSession, d: str) -> DataFrame:
+    """Different articles touched by domain."""
+    return intake.touches(_articles(spark, d).filter("domain is not null"), "domain", "rel")
+
+
+@query("select folder, title, row_number() over (partition by folder order by title) as place from (select distinct case when contains(rel, '/') then regexp_replace(rel, '/[^/]*$', '') else '' end as folder, title from articles where title is not null)")
+def corpus_index(spark: SparkSession, d: str) -> DataFrame:
+    """Titles by folder, in order."""
+    return intake.group_index(_articles(spark, d).filter("title is not null"), folder(F.col("rel")), "title")
+
+
+@query("select project_path from sessions where provider in (select provider from sessions where provider is not null) and project_path is not null group by 1 having count(distinct provider) = (select count(distinct provider) from sessions where provider is not null)")
+def projects_of_all_providers(spark: SparkSession, d: str) -> DataFrame:
+    """Projects with sessions of every provider: division."""
+    s = table(spark, d, "sessions").filter("provider is not null and project_path is not null")
+    return intake.in_all(s, "project_path", "provider", table(spark, d, "sessions").filter("provider is not null"))
+
+
+@query("select rel, cast(len(list_filter(string_split(rel, '/'), lambda x: x <> '')) as int) as depth, count(*) as copies from articles group by 1, 2 having count(*) > 1")
+def repeated_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of several rows, with their depth."""
+    return _articles(spark, d).groupBy("rel", F.size(segments(F.col("rel"))).alias("depth")).agg(F.count("*").alias("copies")).filter("copies > 1")
