@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quernel.functions.times import tidy
+from quernel.session import checkpointed
 
 # Words of filler text, by kind.
 LATIN_FILLER = """lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna
@@ -54,6 +55,7 @@ _SCRIPT = r"(?:javascript|\bjs\b|\bscripts?\b|\bscripting\b|active content|clien
 _SCRIPT_CUE = r"\b(?:please|you|your|this|enable|allow|activate|unblock|turn on|switch(?:ed)? (?:on|off)|needs?|requires?|required|relies|rely|depends?|without|disabled|blocked|missing|detected|must|off|sorry|supported?|cannot|to (?:continue|see|read|use|view|get)|full version)\b"
 _COMPANIONS = [
     r"\b(?:try|come|check|wait|reload|refresh|go|use|tell|contact|sign|log|tick|confirm|press|return|learn|see|ask|search|visit|write)\b.*\b(?:again|back|later|minutes?|moments?|address|spelling|owner|site owner|start page|home ?page|page|retry|in|search|puzzle|person|human|reload|help(?: pages?| desk)?|instead|support|administrator|next request|browser)\b",
+    r"\bwe(?:'ve| have| are|'re|'ll| will)?\b.*\b(?:logged|notified|look(?:ing)? into|working on|fix(?:ing)?|investigat\w+|aware of|apologi[sz]e)\b|\b(?:our|the) (?:team|engineers|staff|support team)\b.*\b(?:notified|informed|working|know)\b|\b(?:thank you|thanks) for your (?:patience|understanding)\b|\bsorry for (?:the|any)\b|\bif you (?:believe|think) this\b|\berror (?:code|id|reference)\b",
     r"\bif (?:this|the problem) (?:keeps|happens|persists|continues)\b|\bsupported browsers?\b|\bcookies must\b|\bslow down\b|\bjust a moment\b|\bloading\b|\boops\b|\bsorry\b|\bplease wait\b|\bhold on\b|\bredirecting\b|\bchecking your browser\b|\bstays? empty\b",
 ]
 _FILLERS = [
@@ -78,18 +80,18 @@ _FOREIGN = {
     |ไม่พบหน้า|ไม่มีสิทธิ์|ปฏิเสธการเข้าถึง|ไม่พร้อมใช้งาน|เซิร์ฟเวอร์|หมดอายุ""",
     "script": """javascript|javascrip|skripte|exécution de scripts|los scripts|de scripts|скрипт|脚本|スクリプト|스크립트|जावास्क्रिप्ट|सक्रिप्ट|جافا ?سكريبت|σενάρι|สคริปต์|จาวาสคริปต์""",
     "weak": """versuchen sie es|später noch einmal|réessayer|réessayez|inténtelo|más tarde|попробуйте|зайти позже|请稍后|再试|もう一度お試し|しばらくして|다시 시도|잠시 후|حاول مرة|बाद में|δοκιμάστε|ลองใหม่|ลองอีกครั้ง""",
-    "filler": """blindtext|platzhalter|ersetzen sie diesen|hier steht später|folgt noch|mustertext|beispieltext
-    |texte d'exemple|remplacez ce|à venir\\b|faux texte|texte de remplissage|votre texte ici
-    |texto de (?:ejemplo|relleno|muestra)|reemplace este|sustituya este|aquí va|su texto aquí|título pendiente|escriba aquí
-    |заглушка|замените этот|здесь будет|ваш текст|текст-рыба|заголовок появится
-    |示例文字|请在此输入|标题待定|占位|此处填写|示例文本|此处输入
-    |ダミーテキスト|本文が入ります|を入力してください|サンプルテキスト|ここに.*入ります
-    |예시 텍스트|여기에 .*입력|더미 텍스트|샘플 텍스트|들어갑니다
-    |نص تجريبي|نص بديل|استبدل هذا|नमूना पाठ|यहाँ .*लिखें|यहां .*लिखें|इस अनुच्छेद|κείμενο δείγμα|αντικαταστήστε|ข้อความตัวอย่าง|แทนที่ข้อความ|ใส่ข้อความ""",
+    "filler": """blindtext|platzhalter|ersetzen sie diesen|hier (?:steht|kommt|folgt|entsteht) (?:später|bald|noch|in kürze|ihr|der|die|das)\\b|folgt (?:noch|in kürze)|mustertext|beispieltext|ihr (?:text|titel) hier|geben sie hier
+    |texte (?:d'exemple|de (?:remplissage|démonstration|test)|provisoire|factice)|remplacez ce|à venir\\b|faux texte|votre (?:texte|titre|contenu) ici|saisissez (?:ici|votre)|ici (?:viendra|ira|votre)
+    |texto de (?:ejemplo|relleno|muestra|prueba|demostración)|(?:reemplace|sustituya|cambie) este|aquí (?:va|irá|iría|su)\\b|su (?:texto|título|contenido) aquí|título pendiente|(?:escriba|introduzca|ponga) (?:aquí|su)
+    |заглушка|замените эт|здесь (?:будет|появится)|ваш (?:текст|заголовок)|текст-рыба|заголовок появится|пример текста|образец текста|введите (?:здесь|текст|заголовок)
+    |示例(?:文字|文本|段落|内容)|(?:请在此|在此处|此处|请)(?:输入|填写)|(?:标题|内容|正文)待定|占位|测试文[字本]|您的(?:文字|内容|标题)
+    |(?:ダミー|サンプル|仮の?)(?:テキスト|文章|文)|(?:本文|見出し|タイトル)が入ります|(?:本文|見出し|テキスト|タイトル|文章)を入力してください|ここに.*(?:入ります|入力)
+    |(?:예시|더미|샘플|견본) (?:텍스트|문장|글)|여기에 .*(?:입력|들어)|들어갑니다
+    |نص (?:تجريبي|بديل|مؤقت)|استبدل هذا|اكتب هنا|नमूना (?:पाठ|शीर्षक)|यहा[ँं] .*(?:लिखें|आएगा)|इस अनुच्छेद|κείμενο (?:δείγμα|δοκιμής)|δείγμα κειμένου|αντικαταστήστε|γράψτε εδώ|εδώ θα|ข้อความ(?:ตัวอย่าง|ทดสอบ|จำลอง)|แทนที่ข้อความ|ใส่(?:ข้อความ|หัวข้อ)|พิมพ์ที่นี่""",
 }
 FOREIGN = {k: re.compile(re.sub(r"\s*\n\s*", "", v)) for k, v in _FOREIGN.items()}
 ERRORS, FILLERS = (re.compile("|".join(f"(?:{p})" for p in ps)) for ps in (_ERRORS, _FILLERS))
-ADVICE, SURELY_WEAK = map(re.compile, _COMPANIONS)
+ADVICE, SURELY_WEAK = re.compile(_COMPANIONS[0]), re.compile("|".join(_COMPANIONS[1:]))
 SCRIPT, SCRIPT_CUE = re.compile(_SCRIPT), re.compile(_SCRIPT_CUE)
 ENGLISH = frozenset("the this your you is are for and please we of that with was it".split())
 #: What tells of something instead of addressing the visitor.
@@ -98,6 +100,10 @@ NAMED = re.compile(r"\b(?!client-|sign-|log-|third-|pop-|built-|server-|add-|che
 FURNITURE = re.compile(r"^(?:#{1,6} .*|[-*] ?\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\([^)]*\)(?:\s*[·|•/-]\s*\[[^\]]*\]\([^)]*\))*|(?:time|date|request id|ray(?: id)?|incident|reference|ref|trace|error code|id|code)\b:? ?[\w#:-]*|err_[\w#]+|\w+/[#.\d]+|[a-z]+/#[\w.]*|back to [\w ]+|return to [\w ]+|all rights reserved\W*|questions\?|\W*|© .*|!\[[^\]]*\]\([^)]*\)|[-*_=]{3,}|home|menu|search|contact|about|help|login|sign in|\(#\))$")
 
 
+#: A message is common from so many hosts on.
+RECURS = 3
+
+
 def message_class(text: str | None, hosts: int = 1) -> str:
     """own, notice (error, refusal, outage, scripts), weak (what goes with notices), filler or furniture.
 
@@ -127,7 +133,7 @@ def message_class(text: str | None, hosts: int = 1) -> str:
         return "weak"
     if len(words) <= 16 and SURELY_WEAK.search(low):
         return "weak"
-    if len(words) <= 16 and ADVICE.search(low) and (hosts >= 3 or re.search(r"\b(?:you|your|this|again|back|later|reload|retry|owner|address|page|request|moment|sorry|sign in|search|help|browsers?|cookies)\b", low)):
+    if len(words) <= 16 and ADVICE.search(low) and (hosts >= RECURS or re.search(r"\b(?:you|your|this|again|back|later|reload|retry|owner|address|page|request|moment|sorry|sign in|search|help|browsers?|cookies)\b", low)):
         return "weak"
     return "own"
 
@@ -170,7 +176,7 @@ def _units(bodies: DataFrame, host_col: str) -> DataFrame:
     body = F.regexp_replace("body", FENCED, "\n")
     units = bodies.select("id", F.col(host_col).alias("host"), F.explode(F.split(body, UNIT)).alias("unit"))
     units = units.select("id", "host", masked(F.col("unit")).alias("message")).filter("message <> ''")
-    return units.withColumn("hash", F.sha2("message", 256))
+    return units.withColumn("hash", F.xxhash64("message"))
 
 
 def residue(fetches: DataFrame, id_col: str = "fetch_id", url_col: str = "url", title_col: str = "title", body_cols: tuple[str, ...] = ("content", "markdown", "text")) -> DataFrame:
@@ -183,10 +189,17 @@ def residue(fetches: DataFrame, id_col: str = "fetch_id", url_col: str = "url",
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "^\\s*(?:\\w+:)?//([^/?#]*)", 1))
     rows = fetches.select(F.col(id_col).alias("id"), host.alias("host"), F.col(title_col).cast("string").alias("title"), page_body(*body_cols).alias("body")).filter("body is not null")
     templates = rows.filter(holds_placeholder(F.col("title")) | holds_placeholder(F.col("body"))).select("id", F.lit("placeholder").alias("why"))
-    classes = classify_messages(rows).select("hash", "class")
-    # a message of a page's own decides by itself, so only what a notice or filler stands in goes on; hot messages are split by AQE
-    judged = _units(rows, "host").select("id", "hash").join(classes, "hash")
-    n = lambda c: F.count(F.when(F.col("class") == c, 1))
-    pages = judged.groupBy("id").agg(n("own").alias("own"), n("notice").alias("notice"), n("filler").alias("filler"), n("weak").alias("weak"))
+    classes = classify_messages(rows).select("hash", "class", (F.col("hosts") >= RECURS).alias("common"))
+    judged = checkpointed(_units(rows, "host").select("id", "hash").distinct().join(classes, "hash"))
+    n = lambda c: F.count(F.when(c, 1))
+    kind = lambda c: F.col("class") == c
+    pages = judged.groupBy("id").agg(n(kind("own")).alias("own"), n(kind("own") & ~F.col("common")).alias("alone"), n(kind("notice")).alias("notice"), n(kind("filler")).alias("filler"), n(kind("weak")).alias("weak"))
+    # phrases that no rule knows: a message of its own that recurs, and where it does beside notices or filler and hardly ever
+    # beside anything that only one page says, goes with them
+    recurring = judged.filter(kind("own") & F.col("common")).select("id", "hash")
+    company = recurring.join(pages.select("id", (F.col("notice") + F.col("filler") > 0).alias("bad"), (F.col("alone") > 0).alias("good")), "id").groupBy("hash").agg(F.count("*").alias("pages"), n(F.col("bad")).alias("bad"), n(F.col("good")).alias("good"))
+    known = company.filter((F.col("pages") >= RECURS) & (2 * F.col("bad") >= F.col("pages")) & (10 * F.col("good") <= F.col("pages"))).select("hash")
+    fewer = recurring.join(known, "hash", "left_semi").groupBy("id").agg(F.count("*").alias("known"))
+    pages = pages.join(fewer, "id", "left").withColumn("own", F.col("own") - F.coalesce("known", F.lit(0)))
     empty = pages.filter("own = 0 and notice + filler + weak > 0").select("id", F.when(F.col("filler") > F.col("notice") + F.col("weak"), "filler").otherwise("notice").alias("why"))
     return templates.unionByName(empty).groupBy("id").agg(F.max("why").alias("why")).withColumnRenamed("id", id_col)
