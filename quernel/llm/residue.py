@@ -41,7 +41,8 @@ PLACEHOLDER = r"(?=[\[{(<$#%@_XTF])(?:" + "|".join(
 CODE = r"(?s)(?:^|\n)[ ]{0,3}(```|~~~).*?(?:\n[ ]{0,3}\1[^\n]*|\z)|<(pre|code)>.*?</\2>|`[^`\n]+`"
 QUOTED = r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»|「[^」\n]{1,300}」|‘[^’\n]{1,300}’"
 FENCED = r"(?s)(?:^|\n)[ ]{0,3}(```|~~~).*?(?:\n[ ]{0,3}\1[^\n]*|\z)"
-UNIT = r"\s*\n\s*|\s(?<=[.!?…؟।][\"'”’»」』)\]]{0,2}\s)\s*|(?<=[。！？])[”’」』]?"
+LINES = r"\s*\n\s*"
+SENTENCES = r"\s(?<=[.!?…؟।][\"'”’»」』)\]]{0,2}\s)\s*|(?<=[。！？])[”’」』]?"
 
 _THING = r"(?:page|post|view|file|resource|document|article|address|content|link|site|website|token|session|visit|connection|upstream|host|database|servers?|requests?|record|item|service|url|path|account|backend|proxy|key|certificate|image|video|story|entry|section|portal|application)"
 _ERRORS = [
@@ -174,7 +175,9 @@ def classify_messages(bodies: DataFrame, host_col: str = "host") -> DataFrame:
 
 def _units(bodies: DataFrame, host_col: str) -> DataFrame:
     body = F.regexp_replace("body", FENCED, "\n")
-    units = bodies.select("id", F.col(host_col).alias("host"), F.explode(F.split(body, UNIT)).alias("unit"))
+    whole = lambda line: line.rlike("^\\s*#{1,6}\\s")  # noqa: E731  a heading is one message
+    cut = F.flatten(F.transform(F.split(body, LINES), lambda line: F.when(whole(line), F.array(line)).otherwise(F.split(line, SENTENCES))))
+    units = bodies.select("id", F.col(host_col).alias("host"), F.explode(cut).alias("unit"))
     units = units.select("id", "host", masked(F.col("unit")).alias("message")).filter("message <> ''")
     return units.withColumn("hash", F.xxhash64("message"))
 

@@ -22,6 +22,7 @@ def test_cases(spark):
         "Dear {{ first_name }}, welcome. " + REAL,
         "Die gewünschte Seite existiert nicht oder wurde verschoben.",
         "请启用JavaScript后继续浏览。",
+        "# Der Abgleich überspringt 9 Artikel, z. B. ragged-valley. Und mehr\n\nBitte aktivieren Sie JavaScript, um fortzufahren.",
     ]
     good = [
         REAL,
