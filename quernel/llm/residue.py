@@ -55,7 +55,7 @@ _ERRORS = [
 _SCRIPT = r"(?:javascript|\bjs\b|\bscripts?\b|\bscripting\b|active content|client-side|content blocker|\bcookies\b|run the code|noscript)"
 _SCRIPT_CUE = r"\b(?:please|you|your|this|enable|allow|activate|unblock|turn on|switch(?:ed)? (?:on|off)|needs?|requires?|required|relies|rely|depends?|without|disabled|blocked|missing|detected|must|off|sorry|supported?|cannot|to (?:continue|see|read|use|view|get)|full version)\b"
 _COMPANIONS = [
-    r"\b(?:try|come|check|wait|reload|refresh|go|use|tell|contact|sign|log|tick|confirm|press|return|learn|see|ask|search|visit|write)\b.*\b(?:again|back|later|minutes?|moments?|address|spelling|owner|site owner|start page|home ?page|page|retry|in|search|puzzle|person|human|reload|help(?: pages?| desk)?|instead|support|administrator|next request|browser)\b",
+    r"^(?:please,? |then |or |and |so |sorry,? |now |you (?:can|may|could|might) (?:also )?)?(?:try|come|check|wait|reload|refresh|go|use|tell|contact|sign|log|tick|solve|confirm|press|return|learn|see|ask|search|visit)\b.*\b(?:again|back|later|minutes?|moments?|address|spelling|owner|site owner|start page|home ?page|page|retry|in|search|puzzle|person|human|reload|help(?: pages?| desk)?|instead|support|administrator|next request|browser)\b",
     r"\bwe(?:'ve| have| are|'re|'ll| will)?\b.*\b(?:logged|notified|look(?:ing)? into|working on|fix(?:ing)?|investigat\w+|aware of|apologi[sz]e)\b|\b(?:our|the) (?:team|engineers|staff|support team)\b.*\b(?:notified|informed|working|know)\b|\b(?:thank you|thanks) for your (?:patience|understanding)\b|\bsorry for (?:the|any)\b|\bif you (?:believe|think) this\b|\berror (?:code|id|reference)\b",
     r"\bif (?:this|the problem) (?:keeps|happens|persists|continues)\b|\bsupported browsers?\b|\bcookies must\b|\bslow down\b|\bjust a moment\b|\bloading\b|\boops\b|\bsorry\b|\bplease wait\b|\bhold on\b|\bredirecting\b|\bchecking your browser\b|\bstays? empty\b",
 ]
