@@ -18,6 +18,8 @@ units again; columns other than the two named are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,6 +83,7 @@ PAIRS = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』",
 QUOTING = re.compile('["«„“「『(（\\[《‹‚”»」』)）\\]》›]')
 THAI_GAP = re.compile("(?<=\\S)[ \t\u00a0]+(?:\r?\n[ \t]*)?(?=\\S)|(?<=\\S)\r?\n[ \t]*(?=\\S)")
 THAI_RUN = re.compile("[" + THAI + "]+")
+NOT_BLANK = re.compile("\\S")
 WORD_BEFORE = re.compile("[^\\s(\\[{\"«“„「『（]+$")
 SLUG = re.compile("v\\d|[a-z0-9]+(?:[-_][a-z0-9]+)+\\b|[a-z]+[A-Z]|[a-z0-9_]+\\.[a-z]{1,5}\\b")
 STOPPED = re.compile("(?:^|\\s)((?:\\w{1,3}\\.[ \u00a0\u202f]?){1,4})$")
@@ -142,14 +145,14 @@ class _Memo(dict):
 _ENDS_OF_RUN = _Memo()
 
 
-def _thai_ends(block: str, inside: list[tuple[int, int]]) -> list[int]:
-    """Ends at the gaps of a block that holds Thai."""
+def _thai_ends(block: str, first: int, spans: _Spans) -> list[int]:
+    """Ends at the gaps of a block that holds Thai from first on."""
     out = []
     for gap in THAI_GAP.finditer(block):
         a, b = gap.span()
         before, after = THAI_RUN.search(block, max(0, a - 60), a), THAI_RUN.match(block, b)
         thai_before = "\u0e00" <= block[a - 1] <= "\u0e7f"
-        if any(s < a < e for s, e in inside):
+        if spans.around(a) >= 0:
             continue
         if after:
             opening = _ENDS_OF_RUN[after.group()][0]
@@ -159,7 +162,7 @@ def _thai_ends(block: str, inside: list[tuple[int, int]]) -> list[int]:
                 run = re.search("[" + THAI + "]+$", block[max(0, a - 200) : a]).group()
                 if _ENDS_OF_RUN[run][1] in THAI_JOINERS:
                     continue
-            elif not before and not re.search("[" + THAI + "]", block[:a]):
+            elif not before and a <= first:
                 continue  # what stands before isn't Thai at all: terminators decide
             out.append(a)
         elif thai_before:
@@ -172,26 +175,40 @@ def _thai_ends(block: str, inside: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _spans(block: str) -> list[tuple[int, int, int]]:
-    """Quotes and brackets that both open and close in the block: start, place of the closing mark, 1 for a bracket."""
-    out, stack = [], []
-    for m in QUOTING.finditer(block):
-        ch, at = m.group(), m.start()
-        if ch == '"':
-            top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if top is not None:
-                out.append((stack[top][1], at, 0))
-                del stack[top:]
-            elif '"' in block[at + 1 :]:
+class _Spans:
+    """Quotes and brackets that both open and close in a block, nested or apart."""
+
+    def __init__(self, block: str) -> None:
+        self.by_end: dict[int, tuple[int, bool]] = {}  # place of the closing mark: that of the opening one, whether a bracket
+        self.outer: list[tuple[int, int]] = []  # those within no other, in order
+        if not QUOTING.search(block):
+            return
+        stack: list[tuple[str, int]] = []
+        wanted: Counter[str] = Counter()  # closing marks that something open waits for
+
+        def close(ch: str, at: int) -> None:
+            while True:
+                mark, start = stack.pop()
+                wanted.subtract(PAIRS.get(mark, mark))
+                if ch in PAIRS.get(mark, mark):
+                    self.by_end[at] = (start, mark in "(（[")
+                    return
+
+        for m in QUOTING.finditer(block):
+            ch, at = m.group(), m.start()
+            if wanted[ch] > 0:
+                close(ch, at)
+            elif ch in PAIRS or (ch == '"' and block.find('"', at + 1) >= 0):
                 stack.append((ch, at))
-            continue
-        top = next((k for k in range(len(stack) - 1, -1, -1) if ch in PAIRS.get(stack[k][0], "")), None)
-        if top is not None:
-            out.append((stack[top][1], at, int(stack[top][0] in "(（[")))
-            del stack[top:]
-        elif ch in PAIRS:
-            stack.append((ch, at))
-    return out
+                wanted.update(PAIRS.get(ch, ch))
+        for end, (start, _) in sorted(self.by_end.items(), key=lambda x: x[1][0]):
+            if not self.outer or start > self.outer[-1][1]:
+                self.outer.append((start, end))
+
+    def around(self, at: int) -> int:
+        """Where the outermost span around a place ends, or -1."""
+        k = bisect_left(self.outer, (at, -1)) - 1
+        return self.outer[k][1] if k >= 0 and self.outer[k][0] < at < self.outer[k][1] else -1
 
 
 def _opens(rest: str) -> int:
@@ -226,11 +243,11 @@ def _glued(block: str, at: int, end: int, unit: int, closed: bool) -> bool:
     return closed or len(token) > 1 or token.isdigit()
 
 
-def _keeps(block: str, m: re.Match, unit: int, inside: list[tuple[int, int, int]], greek: bool) -> int | None:
+def _keeps(block: str, m: re.Match, unit: int, spans: _Spans, greek: bool) -> int | None:
     """The end that a possible end stands for, or None."""
     mark, closing = (m["m"], m["c"]) if m["m"] is not None else (m["w"], m["d"])
     at = m.start()
-    if mark == ";" and not (greek and re.search("[\u0370-\u03ff\u1f00-\u1fff]", block[unit:at])):
+    if mark == ";" and not (greek and re.search("[\u0370-\u03ff\u1f00-\u1fff]", block[max(unit, at - 300) : at])):
         return None
     end = m.start() + len(mark)
     quote = bracket = False
@@ -239,23 +256,24 @@ def _keeps(block: str, m: re.Match, unit: int, inside: list[tuple[int, int, int]
         if ch in " \u00a0\u202f":
             end += 1
             continue
-        span = next((s for s in inside if s[1] == end), None)
+        span = spans.by_end.get(end)
         if span is None:
             if ch in "“" or (ch in "\"'" and end + 1 < len(block) and not block[end + 1].isspace()):
                 break
             end += 1
             continue
         end += 1
-        quote, bracket = quote or not span[2], bracket or bool(span[2])
-        whole = not block[unit : span[0]].strip(" \t\r\n*_")
-        colon = block[unit : span[0]].rstrip(" \t\r\n*_")[-1:] in (":", "：")
+        quote, bracket = quote or not span[1], bracket or span[1]
+        lead = block[max(unit, span[0] - 12) : span[0]].rstrip(" \t\r\n*_")
+        whole, colon = not lead and span[0] - unit <= 12, lead[-1:] in (":", "：")
     if end < m.end() and m["m"] is not None and block[end : end + 1] and not block[end].isspace():
         return None
-    if any(s < at < e for s, e, _ in inside if e >= end):
+    if spans.around(at) >= end:
         return None
-    rest = block[end:].lstrip() if end < len(block) else ""
-    if not rest:
+    follow = NOT_BLANK.search(block, end)
+    if not follow:
         return end
+    rest = block[follow.start() : follow.start() + 80]
     spaced = block[end].isspace()
     if m["w"] is None and not spaced and rest[0] not in "—–" and not re.match("[" + HAN + "]", rest):
         return end if _glued(block, at, end, unit, quote or bracket) else None
@@ -326,24 +344,20 @@ def _block_units(block: str, offset: int, out: list[tuple[int, int]]) -> None:
     if not stop:
         return
     block = block[:stop]
-    first = True
     unit = 0
     ends: list[int] = []
-    inside: list[tuple[int, int, int]] = []
+    spans = None
     greek = False
     for m in ENDING.finditer(block):
-        if first:
-            inside = _spans(block) if QUOTING.search(block) else []
+        if spans is None:
+            spans = _Spans(block)
             greek = ";" in block and bool(re.search("[\u0370-\u03ff]", block))
-            first = False
-        end = _keeps(block, m, unit, inside, greek)
+        end = _keeps(block, m, unit, spans, greek)
         if end is not None and end > unit:
             ends.append(end)
             unit = end
-    if re.search("[" + THAI + "]", block):
-        if first:
-            inside = _spans(block)
-        ends = sorted({*ends, *_thai_ends(block, [(s, e) for s, e, _ in inside])})
+    if thai := THAI_RUN.search(block):
+        ends = sorted({*ends, *_thai_ends(block, thai.start(), spans or _Spans(block))})
     if not ends or ends[-1] != stop:
         ends.append(stop)
     at = 0
