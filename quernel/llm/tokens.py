@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 #: Splitting pattern of byte-level BPE files, as their users publish it: fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
-@lru_cache(maxsize=4)
 def encoding(path: str = TOKENIZER):  # noqa: ANN201
-    """The encoding of a file of ranks; loaded once per worker."""
+    """The encoding of a file of ranks; loaded once per worker.
+
+    It is kept with its library, since this function itself travels with each task and would begin anew.
+    """
     import tiktoken
 
-    try:
-        from public_tokenizers import PATTERN as pattern
-    except ImportError:
-        pattern = PATTERN
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    kept = vars(tiktoken).setdefault("_kept_encodings", {})
+    if path not in kept:
+        try:
+            from public_tokenizers import PATTERN as pattern
+        except ImportError:
+            pattern = PATTERN
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        kept[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return kept[path]
 
 
 def _encode(text: str, path: str) -> list[int]:
