@@ -26,11 +26,11 @@ which loses nothing); the pivots prune them.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from urllib.parse import quote, unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from quernel.session import checkpointed
 
@@ -128,12 +128,23 @@ def _page_key(urls: pd.Series) -> pd.Series:
 
 @dataclass
 class History:
-    """What has been accepted so far; see the module's text. Each table may be written to and read from storage."""
+    """What has been accepted so far; see the module's text. ``added`` has the rows of the last batch by table."""
 
     entries: DataFrame
     notes: DataFrame
     postings: DataFrame
     order: DataFrame
+    added: dict[str, DataFrame] = field(default_factory=dict)
+
+    def append(self, path: str, batch: str) -> None:
+        """Writes the last batch's rows under path, as folders of their own; written again, they replace themselves."""
+        for name, rows in self.added.items():
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The history written under path. A batch small enough to be broadcast probes it without a shuffle of the history."""
+        return cls(*[spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("entries", "notes", "postings", "order")])
 
 
 def _keyed(batch: DataFrame, id_col: str, url_col: str, note_col: str, least_words: int) -> DataFrame:
@@ -260,5 +271,6 @@ def check_batch(batch: DataFrame, history: History | None = None, *, id_col: str
     same = F.col("r.page").eqNullSafe(F.col("k.page")) & F.col("r.note").eqNullSafe(F.col("k.note"))
     result = checkpointed(keyed.alias("r").join(nodes.alias("k"), same).select("r.entry_id", repeats.alias("repeats"), "r.page", "r.note"))
     entries = result.filter(F.col("repeats").isNull()).select("entry_id", "page", "note")
+    added = {"entries": entries, "notes": sets, "postings": postings} | ({"order": order} if history is None else {})
     bare = rows.filter(F.col("page").isNull() & F.col("note").isNull()).select("entry_id", F.lit(None).cast("bigint").alias("repeats"))
-    return result.select("entry_id", "repeats").unionByName(bare), History(taken.unionByName(entries), everything, index, order)
+    return result.select("entry_id", "repeats").unionByName(bare), History(taken.unionByName(entries), everything, index, order, added)

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quernel.llm.batchdedup import check_batch, page_key
+from quernel.llm.batchdedup import History, check_batch, page_key
 
 SCHEMA = "entry_id bigint, url string, note string, page string, triples string"
 
@@ -59,6 +59,20 @@ def test_as_brute_force_in_one_batch_and_in_three(spark):
     assert parts == want
 
 
+def test_history_on_disk(spark, tmp_path):
+    rows, path = rows_of(2, 240), str(tmp_path / "history")
+    got, history = check_batch(frame(spark, rows[:120]))
+    out = {r.entry_id: r.repeats for r in got.collect()}
+    history.append(path, "1")
+    history.append(path, "1")  # a batch run again after a failure adds nothing twice
+    for k, part in ((2, rows[120:200]), (3, rows[200:])):
+        got, history = check_batch(frame(spark, part), History.open(spark, path))
+        out |= {r.entry_id: r.repeats for r in got.collect()}
+        history.append(path, str(k))
+    assert out == brute(rows)
+    assert sorted(r.entry_id for r in History.open(spark, path).entries.collect()) == sorted(i for i, a in out.items() if a is None and any(x for x in rows[i][1:]) and (page_key(rows[i][1]) or len((rows[i][2] or "").split()) >= 20))
+
+
 def test_edges(spark):
     empty, history = check_batch(frame(spark, []))
     assert empty.count() == 0
