@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernel.functions import text as X
-from quernel.functions.paths import folder, segments
+from quernel.functions.markup import head_and_tail, looks_like_person
+from quernel.functions.paths import folder, segments, source_allowed
 from quernel.operators import dedup, graph, intake, ledgers, merge, segment, sessions as S
 from quernel.operators.views import View, run_view
 from quernel.session import table
@@ -367,3 +368,61 @@ def projects_of_all_providers(spark: SparkSession, d: str) -> DataFrame:
 def repeated_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths of several rows, with their depth."""
     return _articles(spark, d).groupBy("rel", F.size(segments(F.col("rel"))).alias("depth")).agg(F.count("*").alias("copies")).filter("copies > 1")
+
+
+@query("select project_path, count(*) as sessions from sessions where regexp_matches(project_path, '^/work/[a-m][^/]*(/.*)?$') and not regexp_matches(project_path, '^/work/field-[^/]*(/.*)?$') group by 1")
+def allowed_projects(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions by project, of those that globs include and none excludes."""
+    s = table(spark, d, "sessions")
+    allowed = source_allowed(F.col("project_path"), F.lit(None).cast("string"), ["/work/field-*"], [], ["/work/[a-m]*"])
+    return s.filter(allowed).groupBy("project_path").agg(F.count("*").alias("sessions"))
+
+
+@query("""with e as (select article_id % 3 as run, article_id as pos, trim(title) as label, tags from articles where trim(title) <> ''), c as (
+select label, trim(t) as claim, min((run, pos)) as place from (select *, unnest(tags) as t from e) where trim(t) <> '' group by 1, 2)
+select label, coalesce(list(claim order by place, claim) filter (where claim is not null), []) as claims from (select distinct label from e) left join c using (label) group by label""")
+def merged_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of three runs by label, with the union of their claims in the order first seen."""
+    a = _articles(spark, d).select((F.col("article_id") % 3).alias("run"), F.col("article_id").alias("pos"), F.col("title").alias("label"), F.col("tags").alias("claims"))
+    return intake.merge_runs(a).select("label", "claims")
+
+
+@query("select article_id as chapter, 'c' || lpad(cast(article_id as varchar), cast(greatest(2, length(cast(article_id as varchar))) as int), '0') || '-f' || cast(k as varchar) as id, fact from (select article_id, unnest(tags) as fact, generate_subscripts(tags, 1) as k from articles)")
+def fact_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Facts with ids by chapter and place."""
+    return intake.number_facts(_articles(spark, d).select(F.col("article_id").alias("chapter"), F.col("tags").alias("facts")))
+
+
+@query("""select s.session_id, row_number() over (partition by s.id order by coalesce(m.sequence, 0), m.id) as turn, lower(trim(m.type, ' \t\n')) as role, case when length(m.text_content) <= 120 then m.text_content else left(m.text_content, 60) || chr(10) || '[...]' || chr(10) || right(m.text_content, 60) end as text
+from messages m join sessions s on s.id = m.session_id where trim(m.text_content, ' \t\n\r') <> ''""")
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of each session in order, long ones as their head and tail."""
+    from pyspark.sql import Window
+
+    said = table(spark, d, "messages").withColumnRenamed("id", "mid").withColumn("at", F.coalesce("sequence", F.lit(0))).filter(X.word_count(F.col("text_content")) > 0)
+    rows = said.join(table(spark, d, "sessions").select("id", F.col("session_id").alias("name")), F.col("session_id") == F.col("id"))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("at", "mid")).cast("bigint")
+    return rows.select(F.col("name").alias("session_id"), turn.alias("turn"), F.lower(F.trim("type")).alias("role"), head_and_tail(F.col("text_content"), 120, 60).alias("text"))
+
+
+@query("""select doc_id, case when instr(l, '. ') between 2 and 120 then left(l, instr(l, '. ')) else left(l, 120) end as lead from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(replace(x, chr(13), ''))), lambda x: x <> '' and not starts_with(x, '#') and not starts_with(x, '---'))[1] as l from documents)""")
+def first_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The lead of each document."""
+    return table(spark, d, "documents").select("doc_id", X.first_sentence(F.col("text")).alias("lead"))
+
+
+@query("""select name, count(*) as n from (select unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) as name from documents) where not regexp_matches(name, '[a-z][A-Z]') group by 1 having count(*) >= 3""")
+def person_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of words that look like a person's name, mentioned three times or more."""
+    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("\\b[A-Z][a-z]+ [A-Z][a-z]+\\b"), F.lit(0))).alias("name"))
+    return found.filter(looks_like_person(F.col("name"))).groupBy("name").agg(F.count("*").alias("n")).filter("n >= 3")
+
+
+@query(None)
+def changed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Articles after a log of changes taken from the queue's notes: rows only, as each change goes on from the one before."""
+    a = _articles(spark, d)
+    pages = a.groupBy(F.col("rel").alias("path")).agg(F.max_by("body", "article_id").alias("body"))
+    known = a.select(F.col("article_id").alias("k"), F.col("rel").alias("path"))
+    notes = table(spark, d, "queue_entries").filter("trim(note) <> ''").select((F.col("entry_id") % 400).alias("k"), F.col("entry_id").alias("seq"), F.when(F.expr("entry_id % 3 = 0"), "replace_section").otherwise("append").alias("action"), F.lit("Notes").alias("heading"), F.col("note").alias("body"))
+    return merge.apply_changes(pages, notes.join(known, "k").drop("k"))
