@@ -351,7 +351,7 @@ def domain_touches(spark: SparkSession, d: str) -> DataFrame:
     return intake.touches(_articles(spark, d).filter("domain is not null"), "domain", "rel")
 
 
-@query("select folder, title, row_number() over (partition by folder order by title) as place from (select distinct case when contains(rel, '/') then regexp_replace(rel, '/[^/]*$', '') else '' end as folder, title from articles where title is not null)")
+@query("select folder, title, cast(row_number() over (partition by folder order by title) as int) as place from (select distinct case when contains(rel, '/') then regexp_replace(rel, '/[^/]*$', '') else '' end as folder, title from articles where title is not null)")
 def corpus_index(spark: SparkSession, d: str) -> DataFrame:
     """Titles by folder, in order."""
     return intake.group_index(_articles(spark, d).filter("title is not null"), folder(F.col("rel")), "title")
