@@ -41,19 +41,55 @@ def missing_pages(titles: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(titles.select(F.col("title").alias("dst")), "dst", "left_anti").groupBy(F.col("dst").alias("target")).agg(F.count_distinct("src").alias("sources"))
 
 
-def host_scores(orphan: DataFrame, hosts: DataFrame, tag_weight: int = 3, domain_weight: int = 5, general: str = "general", least: int = 6) -> DataFrame:
-    """orphan, host, score: pages that an orphan could be linked from, by shared tags and domain.
+BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+SMALL_WORDS = "with from that this into when what where which their them they your about over under more most some than then have been were will would should could".split()
 
-    Both tables have page, tags and domain. Only pairs that share a tag can reach ``least`` if that is above domain_weight,
-    so candidates are joined on tags instead of all with all; pass a lower least only with tags enough to tell pages apart.
+
+def title_hits(orphan: DataFrame, hosts: DataFrame, first: int = 2500) -> DataFrame:
+    """orphan, host, hits: words of an orphan's title (4 bytes or more, no small words) that stand in the first bytes of a host's body, as often as the title has them.
+
+    orphan has page and title, hosts has page and body. A word stands in a body also as part of another. Titles' words have no blanks, so they
+    are sought once in each different word of the bodies: candidates share up to four characters, then the whole is looked for.
+    """
+    word = F.btrim(F.col("w"), F.lit(".,;:!?()[]{}\"'`"))
+    said = orphan.select(F.col("page").alias("orphan"), F.explode(F.split(F.lower("title"), BLANKS)).alias("w")).select("orphan", word.alias("term"))
+    said = said.filter((F.octet_length("term") >= 4) & ~F.col("term").isin(SMALL_WORDS)).groupBy("orphan", "term").agg(F.count("*").alias("n"))
+    head = F.substring(F.col("body").cast("binary"), 1, first).cast("string")
+    held = hosts.select(F.col("page").alias("host"), F.explode(F.array_distinct(F.split(F.lower(head), BLANKS))).alias("word")).filter(F.octet_length("word") >= 4)
+    starts = F.sequence(F.lit(1), F.length("word"))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substr(F.col("word"), i, k)))))
+    words = held.select("word").distinct().select("word", F.explode(grams).alias("gram"))
+    terms = said.select("term", F.substring("term", 1, 4).alias("gram")).distinct()
+    within = words.join(terms, "gram").filter(F.contains("word", "term")).select("term", "word")
+    found = held.join(within, "word").select("term", "host").distinct()
+    return found.join(said, "term").filter("orphan <> host").groupBy("orphan", "host").agg(F.sum("n").alias("hits"))
+
+
+def host_scores(
+    orphan: DataFrame, hosts: DataFrame, tag_weight: int = 3, domain_weight: int = 5, general: str = "general", least: int = 6, term_weight: int = 2, overview_weight: int = 4
+) -> DataFrame:
+    """orphan, host, score: pages that an orphan could be linked from, by shared tags, domain, words of its title and overviews.
+
+    Both tables have page, tags and domain. Words of the title count (``title_hits``) if orphan has title and hosts has body, overview pages if
+    hosts has rel. A domain or an overview can't reach ``least`` alone, so candidates share a tag or a word of the title, or are
+    overviews of the same domain; pass a lower least only with tags enough to tell pages apart.
     """
-    if least <= domain_weight:
-        raise ValueError("least must be above the weight of the domain, or all pages of a domain are candidates")
+    overviews = "rel" in hosts.columns
+    if least <= max(domain_weight, overview_weight * overviews):
+        raise ValueError("least must be above the weights of the domain and of overviews, or all pages of either are candidates")
     tags = lambda df, name: df.select(F.col("page").alias(name), F.explode(F.array_distinct(F.transform("tags", lambda x: F.lower(F.trim(x))))).alias("tag"))
-    shared = tags(orphan, "orphan").join(tags(hosts, "host"), "tag").filter("orphan <> host").groupBy("orphan", "host").agg(F.count("*").alias("shared"))
-    both = shared.join(orphan.select(F.col("page").alias("orphan"), F.col("domain").alias("a")), "orphan").join(hosts.select(F.col("page").alias("host"), F.col("domain").alias("b")), "host")
-    same = (F.col("a") == F.col("b")) & (F.col("a") != general)
-    score = F.col("shared") * tag_weight + F.when(same, domain_weight).otherwise(0)
+    zero = F.lit(0).cast("bigint")
+    overview = F.col("rel").endswith("/overview.md") if overviews else F.lit(False)
+    a = orphan.select(F.col("page").alias("orphan"), F.col("domain").alias("a"))
+    b = hosts.select(F.col("page").alias("host"), F.col("domain").alias("b"), F.coalesce(overview, F.lit(False)).alias("overview"))
+    same = (F.col("a") == F.col("b")) & ~F.col("a").isin(general, "")
+    points = tags(orphan, "orphan").join(tags(hosts, "host"), "tag").filter("orphan <> host").groupBy("orphan", "host").agg((F.count("*") * tag_weight).alias("points"))
+    if "title" in orphan.columns and "body" in hosts.columns:
+        points = points.unionByName(title_hits(orphan, hosts).select("orphan", "host", (F.col("hits") * term_weight).alias("points")))
+    if overviews:
+        points = points.unionByName(a.join(b.filter("overview"), same & (F.col("orphan") != F.col("host"))).select("orphan", "host", zero.alias("points")))
+    both = points.groupBy("orphan", "host").agg(F.sum("points").alias("points")).join(a, "orphan").join(b, "host")
+    score = F.col("points") + F.when(same, domain_weight).otherwise(0) + F.when(F.col("overview"), overview_weight).otherwise(0)
     return both.select("orphan", "host", score.cast("bigint").alias("score")).filter(F.col("score") >= least)
 
 

@@ -223,9 +223,9 @@ def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
 select a.page as orphan, b.page as host, count(*) * 3 + case when any_value(a.domain) = any_value(b.domain) and any_value(a.domain) <> 'general' then 5 else 0 end as score from t a join t b on a.tag = b.tag and a.page <> b.page group by 1, 2)
 select orphan, host, cast(score as bigint) as score from p where score >= 9""")
 def host_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Articles that each article could be linked from, by tags and domain."""
-    a = _articles(spark, d).select(F.col("article_id").alias("page"), "tags", "domain")
-    return graph.host_scores(a, a, least=9)
+    """Articles that each article could be linked from, by tags, domain, words of its title and overviews; a score of 8 at least."""
+    a = _articles(spark, d).select(F.col("article_id").alias("page"), "tags", "domain", "title", "body", "rel")
+    return graph.host_scores(a, a, least=8)
 
 
 @query("""with e as (select l_suppkey as src, 'supplies' as kind, l_partkey as dst from lineitem where l_quantity > 45 union select l_partkey, 'supplied_by', l_suppkey from lineitem where l_quantity > 48)

@@ -49,6 +49,18 @@ def test_graph(spark):
     assert graph.backlinks(edges(spark, []), titles).count() == 0
 
 
+def test_host_scores_whole(spark):
+    rows = [
+        ("o", ["a"], "x", "Queue (Limits) and 句子!", "", "w/o.md"), ("tag", ["a"], "x", "t", "", "w/p.md"), ("words", [], "y", "t", "The queues\u00a0x-limits:句子", "w/q.md"), ("domain", [], "x", "t", "limits 句子。", "w/r.md"),
+        ("over", [], "x", "t", "", "w/overview.md"), ("late", [], "x", "t", "z" * 2496 + " queue limits", "w/s.md"), ("one", [], "x", "t", "queue", "w/t.md"), ("else", ["a"], "general", "t", None, None),
+        ("mix", [], "y", "t", "queue limits", "w/n/overview.md"),
+    ]
+    df = spark.createDataFrame(rows, "page string, tags array<string>, domain string, title string, body string, rel string")
+    got = {r.host: r.score for r in graph.host_scores(df.filter("page = 'o'"), df, least=8).collect()}
+    assert got == {"tag": 8, "domain": 9, "over": 9, "mix": 8}
+    assert {r.host: r.hits for r in graph.title_hits(df.filter("page = 'o'"), df).collect()} == {"words": 3, "domain": 2, "one": 1, "mix": 2}
+
+
 def test_host_scores(spark):
     rows = [("o", ["a", "b"], "x"), ("p", ["A ", "b"], "y"), ("q", ["a"], "x"), ("r", ["a", "a"], "general"), ("s", None, None)]
     df = spark.createDataFrame(rows, "page string, tags array<string>, domain string")
