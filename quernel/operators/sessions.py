@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quernel.functions.markup import head_and_tail
+from quernel.functions.text import word_count
 from quernel.functions.times import instant_micros, tidy
 
 
@@ -73,3 +75,16 @@ def first_before(messages: DataFrame, first: Column, second: Column, most_sequen
     at = F.struct(F.coalesce("sequence", F.lit(0)).alias("s"), F.col("id").alias("i"))
     g = rows.groupBy(F.col("session_id").alias("session")).agg(F.min(F.when(first, at)).alias("f"), F.min(F.when(second, at)).alias("d"))
     return g.select("session", F.col("d").isNotNull().alias("has_second"), F.coalesce(F.col("f") < F.col("d"), F.lit(False)).alias("first_leads"))
+
+
+def transcript_turns(sessions: DataFrame, messages: DataFrame, most: int = 1200, keep: int = 600) -> DataFrame:
+    """session_id, turn, role, text: the turns of each session in order, blank ones left out.
+
+    What was said stays whole. A message without text gives its content (tool use and results), of which more than ``most`` characters
+    become the first and last ``keep``; lengths are in characters, so none is broken.
+    """
+    tool = F.when(F.coalesce("text_content", F.lit("")) == "", head_and_tail(tidy(F.col("content")), most, keep))
+    said = messages.select(F.col("session_id").alias("sid"), F.col("id").alias("mid"), F.coalesce("sequence", F.lit(0)).alias("at"), F.lower(F.trim("type")).alias("role"), F.coalesce(tool, "text_content").alias("text"))
+    rows = said.filter(word_count(F.col("text")) > 0).join(sessions.select("id", "session_id"), F.col("sid") == F.col("id"))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("at", "mid")).cast("bigint")
+    return rows.select("session_id", turn.alias("turn"), "role", "text")

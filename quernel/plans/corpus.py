@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernel.functions import text as X
-from quernel.functions.markup import head_and_tail, looks_like_person
+from quernel.functions.markup import looks_like_person
 from quernel.functions.paths import folder, segments, source_allowed
 from quernel.operators import dedup, graph, intake, ledgers, merge, segment, sessions as S
 from quernel.operators.views import View, run_view
@@ -396,13 +396,8 @@ def fact_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("""select s.session_id, row_number() over (partition by s.id order by coalesce(m.sequence, 0), m.id) as turn, lower(trim(m.type, ' \t\n')) as role, case when length(m.text_content) <= 120 then m.text_content else left(m.text_content, 60) || chr(10) || '[...]' || chr(10) || right(m.text_content, 60) end as text
 from messages m join sessions s on s.id = m.session_id where trim(m.text_content, ' \t\n\r') <> ''""")
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of each session in order, long ones as their head and tail."""
-    from pyspark.sql import Window
-
-    said = table(spark, d, "messages").withColumnRenamed("id", "mid").withColumn("at", F.coalesce("sequence", F.lit(0))).filter(X.word_count(F.col("text_content")) > 0)
-    rows = said.join(table(spark, d, "sessions").select("id", F.col("session_id").alias("name")), F.col("session_id") == F.col("id"))
-    turn = F.row_number().over(Window.partitionBy("id").orderBy("at", "mid")).cast("bigint")
-    return rows.select(F.col("name").alias("session_id"), turn.alias("turn"), F.lower(F.trim("type")).alias("role"), head_and_tail(F.col("text_content"), 120, 60).alias("text"))
+    """Turns of each session in order: what was said, whole, and of turns without it the tool text, trimmed to head and tail over 1,200 characters."""
+    return S.transcript_turns(table(spark, d, "sessions"), table(spark, d, "messages"))
 
 
 @query("""select doc_id, case when instr(l, '. ') between 2 and 120 then left(l, instr(l, '. ')) else left(l, 120) end as lead from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(replace(x, chr(13), ''))), lambda x: x <> '' and not starts_with(x, '#') and not starts_with(x, '---'))[1] as l from documents)""")

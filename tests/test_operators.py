@@ -173,3 +173,13 @@ def test_as_of_and_ranges(spark):
     ranges = spark.createDataFrame([("a", 5, 25), ("a", 24, 24), ("b", 0, 10)], "k string, low bigint, high bigint")
     points = spark.createDataFrame([("a", x) for x in (4, 5, 24, 25)] + [("b", 0)], "k string, x bigint")
     assert sorted((p.k, p.x) for p in in_range(points, ranges, ["k"], "x", "low", "high", 10.0).collect()) == [("a", 5), ("a", 24), ("b", 0)]
+
+
+def test_transcript_turns(spark):
+    said, tool = "".join(f"{i} " for i in range(900)), "{" + "é" * 1300 + "}"
+    sessions = spark.createDataFrame([(1, "s")], "id bigint, session_id string")
+    rows = [(4, 1, " User", said, None, 0), (5, 1, "assistant", "", tool, 1), (6, 1, "tool", None, " x ", 1), (7, 1, "tool", " \n", "unused", 2), (8, 1, "tool", "", "", 3), (9, 2, "user", "gone", None, 0), (3, 1, "system", "first", "unused", None)]
+    messages = spark.createDataFrame(rows, "id bigint, session_id bigint, type string, text_content string, content string, sequence int")
+    got = [tuple(r) for r in S.transcript_turns(sessions, messages).orderBy("turn").collect()]
+    cut = "{" + "é" * 599 + "\n[...]\n" + "é" * 599 + "}"
+    assert got == [("s", 1, "system", "first"), ("s", 2, "user", said), ("s", 3, "assistant", cut), ("s", 4, "tool", "x")]
