@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from quernel.session import checkpointed
+
 RANGE = 262_144
 JOINT = 2_048  # a range's joint is sought in so many bytes after its start
 HEADING = re.compile(rb"(?:(?<=\n)|\A)#{1,3}[ \t]+[^\s]")
@@ -127,15 +129,15 @@ def range_pieces(data: bytes, left: int, start: int, end: int, size: int, known:
 
 
 def _slices(bodies: DataFrame, range_bytes: int, halo: int) -> DataFrame:
-    """One row per range of each body: k, size, start and the bytes with halo; ranges are cut without going back to the whole body."""
-    sized = bodies.select("k", F.octet_length("body").cast("bigint").alias("size"), "body").filter("size > 0")
+    """One row per range of each body: row, k, size, start and the bytes with halo; ranges are cut without going back to the whole body."""
+    sized = bodies.select("row", "k", F.octet_length("body").cast("bigint").alias("size"), "body").filter("size > 0")
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))
 
     def piece(s):  # noqa: ANN001, ANN202
         left = F.greatest(s - halo, F.lit(0))
         return F.struct(s.alias("start"), F.substring("body", (left + 1).cast("int"), (s - left + range_bytes + halo).cast("int")).alias("data"))
 
-    return sized.select("k", "size", F.explode(F.transform(starts, piece)).alias("r")).select("k", "size", "r.start", "r.data")
+    return sized.select("row", "k", "size", F.explode(F.transform(starts, piece)).alias("r")).select("row", "k", "size", "r.start", "r.data")
 
 
 def _file_slices(files: DataFrame, range_bytes: int, halo: int) -> DataFrame:
@@ -156,11 +158,13 @@ def _file_slices(files: DataFrame, range_bytes: int, halo: int) -> DataFrame:
     return ranges.repartition("k", "start").mapInPandas(read, "k string, size bigint, start bigint, data binary")
 
 
-def _split(slices: DataFrame, kind: str, range_bytes: int, halo: int, limit: int, overlap: int, with_text: bool) -> DataFrame:
+def _split(whole: DataFrame, many: DataFrame, kind: str, row_kind: str, range_bytes: int, halo: int, limit: int, overlap: int, with_text: bool) -> DataFrame:
+    """The pieces of the slices of bodies that fit in one range (whole) and of larger ones (many); row tells bodies of one k, or of none, apart."""
+
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [range_summary(bytes(d), max(0, s - halo), s, min(n, s + range_bytes)) for d, s, n in zip(b["data"], b["start"], b["size"], strict=True)]
-            yield pd.concat([b[["k", "size", "start"]].reset_index(drop=True), pd.DataFrame(rows, columns=["heads", "first", "last", "lines", "joint"], dtype="object")], axis=1)
+            yield pd.concat([b[["row", "size", "start"]].reset_index(drop=True), pd.DataFrame(rows, columns=["heads", "first", "last", "lines", "joint"], dtype="object")], axis=1)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,30 +172,29 @@ def _split(slices: DataFrame, kind: str, range_bytes: int, halo: int, limit: int
             for r in b.itertuples(index=False):
                 known = (r.heads_before, r.lines_before, r.open_start, r.after, r.joint, r.next_joint)
                 for p in range_pieces(bytes(r.data), max(0, r.start - halo), r.start, min(r.size, r.start + range_bytes), r.size, known, limit, overlap):
-                    out.append((r.k, r.start, *p[:-1], p[-1].decode("utf-8", "replace") if with_text else None))
-            yield pd.DataFrame(out, columns=["k", "range_start", *[c.split()[0] for c in PIECE.split(", ")]])
+                    out.append((r.row, r.k, r.start, *p[:-1], p[-1].decode("utf-8", "replace") if with_text else None))
+            yield pd.DataFrame(out, columns=["row", "k", "range_start", *[c.split()[0] for c in PIECE.split(", ")]])
 
-    schema = f"k {kind}, range_start bigint, {PIECE}"
+    schema = f"row {row_kind}, k {kind}, range_start bigint, {PIECE}"
     zero = F.lit(0).cast("bigint")
-    whole = slices.filter(F.col("size") <= range_bytes).select("k", "size", "start", "data", zero.alias("heads_before"), zero.alias("lines_before"), zero.alias("open_start"), F.col("size").alias("after"), zero.alias("joint"), F.col("size").alias("next_joint"))
-    done = whole.mapInPandas(emit, schema)
+    known = whole.select("row", "k", "size", "start", "data", zero.alias("heads_before"), zero.alias("lines_before"), zero.alias("open_start"), F.col("size").alias("after"), zero.alias("joint"), F.col("size").alias("next_joint"))
+    done = known.mapInPandas(emit, schema)
 
-    many = slices.filter(F.col("size") > range_bytes)
-    table = many.mapInPandas(summarise, f"k {kind}, size bigint, start bigint, heads bigint, first bigint, last bigint, lines bigint, joint bigint")
-    w = Window.partitionBy("k").orderBy("start")
+    table = many.mapInPandas(summarise, f"row {row_kind}, size bigint, start bigint, heads bigint, first bigint, last bigint, lines bigint, joint bigint")
+    w = Window.partitionBy("row").orderBy("start")
     before, following = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     stitched = table.select(
-        "k", "start",
+        "row", "start",
         F.coalesce(F.sum("heads").over(before), zero).alias("heads_before"), F.coalesce(F.sum("lines").over(before), zero).alias("lines_before"),
         F.coalesce(F.max("last").over(before), zero).alias("open_start"), F.coalesce(F.min("first").over(following), F.col("size")).alias("after"),
         F.coalesce("joint", zero).alias("joint"), F.coalesce(F.lead("joint").over(w), F.col("size")).alias("next_joint"),
     )
-    pieces = many.join(stitched, ["k", "start"]).select("k", "size", "start", "data", "heads_before", "lines_before", "open_start", "after", "joint", "next_joint").mapInPandas(emit, schema)
+    pieces = many.join(stitched, ["row", "start"]).select("row", "k", "size", "start", "data", "heads_before", "lines_before", "open_start", "after", "joint", "next_joint").mapInPandas(emit, schema)
     # piece numbers go on over ranges: one row per range and section is enough to know by how much
-    counts = pieces.groupBy("k", "section_no", "range_start").agg(F.count("*").alias("n"))
-    shift = counts.select("k", "section_no", "range_start", F.coalesce(F.sum("n").over(Window.partitionBy("k", "section_no").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("shift"))
-    numbered = pieces.join(shift, ["k", "section_no", "range_start"]).withColumn("piece_no", (F.col("piece_no") + F.col("shift")).cast("int")).select(done.columns)
-    return done.unionByName(numbered).drop("range_start")
+    counts = pieces.groupBy("row", "section_no", "range_start").agg(F.count("*").alias("n"))
+    shift = counts.select("row", "section_no", "range_start", F.coalesce(F.sum("n").over(Window.partitionBy("row", "section_no").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("shift"))
+    numbered = pieces.join(shift, ["row", "section_no", "range_start"]).withColumn("piece_no", (F.col("piece_no") + F.col("shift")).cast("int")).select(done.columns)
+    return done.unionByName(numbered).drop("row", "range_start")
 
 
 def split_oversized(articles: DataFrame, id_col: str = "article_id", body_col: str = "body", limit: int = 6000, overlap: int = 300, with_text: bool = True, range_bytes: int = RANGE) -> DataFrame:
@@ -201,15 +204,20 @@ def split_oversized(articles: DataFrame, id_col: str = "article_id", body_col: s
     1, and the text before the first one is section 0. Columns: id, section_no, piece_no, start_byte and end_byte in the
     body (start with the overlap), overlap_bytes, first_line, last_line, tokens (a quarter of the bytes) and text.
 
-    Defined results: null and empty bodies give no rows; repeated rows give their pieces again; a section of exactly limit
+    Defined results: null and empty bodies give no rows; rows with a null id or a repeated one are split each by itself, so repeated rows give their pieces again; a section of exactly limit
     bytes isn't cut; bytes that aren't UTF-8 are cut anywhere; blanks between ``#`` and text are looked through for a halo's length.
     """
     if not 0 <= overlap < limit // 2 or limit < 16:
         raise ValueError("limit must be 16 bytes or more and overlap under half of it")
     halo = limit + 2 * JOINT
     kind = articles.schema[id_col].dataType.simpleString()
+    range_bytes = max(range_bytes, 2 * halo)
     bodies = articles.select(F.col(id_col).alias("k"), F.col(body_col).cast("binary").alias("body"))
-    pieces = _split(_slices(bodies, max(range_bytes, 2 * halo), halo), kind, max(range_bytes, 2 * halo), halo, limit, overlap, with_text)
+    size = F.octet_length("body")
+    # what is stitched goes by a number of its row, written down before the row is cut
+    large = checkpointed(bodies.filter(size > range_bytes).withColumn("row", F.monotonically_increasing_id()))
+    small = bodies.filter(size <= range_bytes).withColumn("row", F.lit(0).cast("bigint"))
+    pieces = _split(_slices(small, range_bytes, halo), _slices(large, range_bytes, halo), kind, "bigint", range_bytes, halo, limit, overlap, with_text)
     return pieces.withColumnRenamed("k", id_col)
 
 
@@ -217,4 +225,6 @@ def split_files(spark: SparkSession, path: str, limit: int = 6000, overlap: int
     """The same for files of any size, each a body; the id is the path. No task reads more than a range and its halos."""
     halo = limit + 2 * JOINT
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("k"), F.col("length").alias("size"))
-    return _split(_file_slices(files, range_bytes, halo), "string", range_bytes, halo, limit, overlap, True).withColumnRenamed("k", "path")
+    slices = _file_slices(files, range_bytes, halo).withColumn("row", F.col("k"))
+    whole, many = slices.filter(F.col("size") <= range_bytes), slices.filter(F.col("size") > range_bytes)
+    return _split(whole, many, "string", "string", range_bytes, halo, limit, overlap, True).withColumnRenamed("k", "path")

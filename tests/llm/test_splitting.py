@@ -72,3 +72,15 @@ def test_files(spark, tmp_path):
     for n in (1, 3):
         own = sorted((r for r in rows if r.section_no == n), key=lambda r: r.piece_no)
         assert "".join(r.text.encode()[r.overlap_bytes :].decode() for r in own) == body.encode()[own[0].start_byte : own[-1].end_byte].decode()
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    bodies = [text(rng, 900) for _ in range(3)]
+    rows = [(None, bodies[0]), (None, bodies[1]), (3, bodies[0]), (3, bodies[2]), (4, bodies[1]), (4, bodies[1])]
+    split = lambda rows: s.split_oversized(spark.createDataFrame([(i, b, "", "", 0) for i, b in rows], SCHEMA), limit=1000, overlap=60, range_bytes=1).collect()
+    own = {b: sorted(tuple(p)[1:] for p in split([(9, b)])) for b in bodies}
+    assert all(len(b.encode()) > 2 * (1000 + 2 * s.JOINT) and own[b] for b in bodies)
+    got = split(rows)
+    for i in (None, 3, 4):
+        assert sorted(tuple(p)[1:] for p in got if p.article_id == i) == sorted(p for k, b in rows if k == i for p in own[b])
