@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,14 +13,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and written to the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is that of ``spark.checkpoint.dir``; a folder of this machine is set only where the session names none,
-    as in tests.
+    Where the session names none, a session without a cluster gets a folder of this machine, as in tests; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernel-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own within the shared one, for tables that a job writes and opens again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
