@@ -3,13 +3,16 @@
 Two entries repeat each other if their addresses lead to the same page or if their notes share at least half of
 their word triples. Entries count in order of id: one that repeats no accepted entry is accepted, any other isn't.
 
-The history is kept as three tables (``History``), to which a batch only adds rows:
+The history is kept as tables (``History``), to which a batch only adds rows:
 
-* ``entries``: entry_id and page key of each accepted entry, with the id of its note's set;
-* ``notes``: each different set of triples once, with its distances to fixed pivots;
-* ``postings``: the prefix of each set in a fixed order of triples, the index a new batch probes;
-* ``order``: that order, rare triples first as of the first batch, so that triples that many notes share don't bring
-  all of them together; it stays as it is, as an index loses nothing under any order that both sides use.
+* ``entries``: entry_id, page key and set of each accepted entry;
+* ``notes``: each different set of triples once, named by the first entry that had it, with its distances to fixed pivots;
+* ``postings``: the prefix of each set in one order of triples, the index a new batch probes;
+* ``order``: that order, rare triples first, so that triples that many notes share don't bring all of them together. An index
+  loses nothing under any order that both sides use, so it may be out of date; it is made anew when the sets have grown
+  threefold, lest triples that became common since count as rare.
+
+A batch of few keys is sent to the stored tables, which are read where they lie; a large one is joined.
 
 Pivots and distances. The metric is the size of the symmetric difference of two sets; the pivots are the empty set
 and, for k hash classes, the set of all triples of the class. The distance of a set to a pivot is then known up to a
@@ -35,6 +38,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from quernel.session import checkpointed
 
 PIVOTS = 16
+#: So many keys of a batch, some dozens of bytes each, are sent to every executor; beyond that, joins shuffle.
+FEW = 100_000
 # Parameters that only record where a click came from.
 TRACKING = frozenset(
     """fbclid gclid gclsrc dclid gbraid wbraid igshid igsh mc_cid mc_eid msclkid yclid twclid ttclid li_fat_id _hsenc _hsmi __hssc
@@ -128,27 +133,43 @@ def _page_key(urls: pd.Series) -> pd.Series:
 
 @dataclass
 class History:
-    """What has been accepted so far; see the module's text. ``added`` has the rows of the last batch by table."""
+    """What has been accepted so far; see the module's text. ``added`` has the rows of the last batch by table.
+
+    ``made_of`` is the number of sets that the order was made of, ``sets`` that of all sets; ``version`` names the index on disk.
+    """
 
     entries: DataFrame
     notes: DataFrame
     postings: DataFrame
     order: DataFrame
     added: dict[str, DataFrame] = field(default_factory=dict)
+    made_of: int = 0
+    sets: int = 0
+    version: int = 0
 
     def append(self, path: str, batch: str) -> None:
-        """Writes the last batch's rows under path, as folders of their own; written again, they replace themselves."""
+        """Writes the last batch's rows under path, as folders of their own; written again, they replace themselves.
+
+        Rows lie sorted by the key that later batches look up, so row groups without a wanted key are passed over. An index
+        made anew is a version of its own; its size is written last, and only a version that has one is ever opened.
+        """
+        keys = {"entries": "entry_id", "notes": "key", "postings": "t", "order": "t"}
         for name, rows in self.added.items():
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+            folder = f"{path}/{name}" if name in ("entries", "notes") else f"{path}/{name}-{self.version}"
+            rows.sortWithinPartitions(keys[name]).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        spark = self.entries.sparkSession
+        spark.createDataFrame([(self.version, self.made_of, self.sets)], "version int, made_of bigint, sets bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes/batch={batch}")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> History:
-        """The history written under path. A batch small enough to be broadcast probes it without a shuffle of the history."""
-        return cls(*[spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("entries", "notes", "postings", "order")])
+        """The history written under path. A batch whose keys are few enough to be broadcast probes it without a shuffle of the history."""
+        last = spark.read.parquet(f"{path}/sizes").agg(F.max_by(F.struct("version", "made_of", "sets"), F.struct("version", "sets")).alias("x")).select("x.*").first()
+        read = lambda name: spark.read.parquet(f"{path}/{name}").drop("batch")
+        return cls(read("entries"), read("notes"), read(f"postings-{last.version}"), read(f"order-{last.version}"), {}, last.made_of, last.sets, last.version)
 
 
 def _keyed(batch: DataFrame, id_col: str, url_col: str, note_col: str, least_words: int) -> DataFrame:
-    """entry_id, page key, the note's distinct triples (null if it is too short) and the id of that set."""
+    """entry_id, page key, the note's distinct triples (null if it is too short) and a digest of that set."""
     text = F.regexp_replace(F.lower(F.col(note_col)), "[^a-z0-9]+", " ")
     words = F.split(F.trim(text), " ")
     rows = batch.select(F.col(id_col).cast("bigint").alias("entry_id"), _page_key(F.col(url_col).cast("string")).alias("page"), words.alias("w"))
@@ -156,85 +177,106 @@ def _keyed(batch: DataFrame, id_col: str, url_col: str, note_col: str, least_wor
     enough = F.size("w") >= F.lit(max(3, least_words))
     triples = F.when(enough, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), triple))))
     rows = rows.filter(F.col("entry_id").isNotNull()).select("entry_id", "page", triples.alias("triples"))
-    return rows.withColumn("note", F.when(F.col("triples").isNotNull(), F.sha2(F.to_csv(F.struct(F.array_join("triples", " "))), 256)))
+    digest = F.substring(F.unhex(F.sha2(F.to_csv(F.struct(F.array_join("triples", " "))), 256)), 1, 16)
+    return rows.withColumn("key", F.when(F.col("triples").isNotNull(), digest))
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """Each different set once, with its distances to the pivots."""
-    sets = rows.filter(F.col("note").isNotNull()).groupBy("note").agg(F.first("triples").alias("triples"))
+def _distances(sets: DataFrame) -> DataFrame:
+    """Sets (note, key, triples) with their size and their distances to the pivots, each capped at 127, which keeps them lower bounds."""
 
     def in_class(k: int) -> Column:
-        return F.size(F.filter("triples", lambda x: x.bitwiseAND(F.lit(PIVOTS - 1)) == k))
+        return F.least(F.size(F.filter("triples", lambda x: x.bitwiseAND(F.lit(PIVOTS - 1)) == k)), F.lit(127)).cast("tinyint")
 
-    return sets.select("note", F.size("triples").alias("n"), "triples", F.array(*map(in_class, range(PIVOTS))).alias("pivots"))
+    return sets.select("note", "key", F.size("triples").alias("n"), F.array(*map(in_class, range(PIVOTS))).alias("pivots"), "triples")
 
 
 def _order(sets: DataFrame) -> DataFrame:
-    """The frozen order of an index: how many sets hold each triple, for those held by more than one; all others count as rare."""
+    """The order of an index: how many sets hold each triple, for those held by more than one; all others count as rare."""
     return sets.select(F.explode("triples").alias("t")).groupBy("t").agg(F.count("*").alias("held")).filter("held > 1")
 
 
+def _few(keys: DataFrame) -> bool:
+    """Whether keys are few enough to be sent to every executor: FEW rows of a few dozen bytes, whatever the history's size."""
+    return keys.limit(FEW + 1).count() <= FEW
+
+
+def _known(stored: DataFrame, keys: DataFrame, on: str, few: bool) -> DataFrame:
+    """The stored rows with one of the keys: if these are few, by a look at each stored row where it lies, else by a join."""
+    keys = keys.filter(F.col(on).isNotNull()).select(on)
+    return stored.join(F.broadcast(keys) if few else keys.distinct(), on, "left_semi")
+
+
 def _prefixes(sets: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
     """The first n - ceil(threshold * n) + 1 triples of each set, rare ones first, with their places."""
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    ranked = sets.select("note", F.explode("triples").alias("t")).join(order, "t", "left").select("note", F.struct(F.coalesce("held", F.lit(0)).alias("held"), F.xxhash64("t").alias("h"), "t").alias("x"))
+    ranked = sets.select("note", F.explode("triples").alias("t")).join(order, "t", "left").select("note", F.struct(F.coalesce("held", F.lit(0)).alias("held"), "t").alias("x"))
     sorted_ = ranked.groupBy("note").agg(F.array_sort(F.collect_list("x")).alias("xs")).join(sets.select("note", "n", "pivots"), "note")
     return sorted_.select("note", "n", "pivots", F.posexplode(F.slice("xs", F.lit(1), length)).alias("place", "x")).select(F.col("x.t").alias("t"), "note", "n", "place", "pivots")
 
 
-def _links(new: DataFrame, new_postings: DataFrame, all_sets: DataFrame, all_postings: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), both ways, of different sets of which a is new and whose similarity is at least the threshold."""
-    a, b = new_postings.alias("a"), all_postings.alias("b")
+def _candidates(a: DataFrame, b: DataFrame, threshold: float, within: bool) -> DataFrame:
+    """Pairs (p of a, q of b) of different sets whose prefixes meet and that no distance to a pivot tells apart; within one table, each pair once."""
     na, nb = F.col("a.n"), F.col("b.n")
     overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - F.lit(1e-9))
-    apart = F.aggregate(F.zip_with("a.pivots", "b.pivots", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    pairs = (
-        a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.note") != F.col("b.note")))
+    apart = F.aggregate(F.zip_with("a.pivots", "b.pivots", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+    differ = F.col("a.note") < F.col("b.note") if within else F.col("a.note") != F.col("b.note")
+    return (
+        a.alias("a").join(b.alias("b"), (F.col("a.t") == F.col("b.t")) & differ)
         .filter((nb >= F.lit(threshold) * na - F.lit(1e-9)) & (na >= F.lit(threshold) * nb - F.lit(1e-9)))
         .filter(F.least(na - F.col("a.place"), nb - F.col("b.place")) >= overlap)
         .filter(apart <= na + nb - 2 * overlap)
-        .select(F.least("a.note", "b.note").alias("p"), F.greatest("a.note", "b.note").alias("q"))
+        .select(F.col("a.note").alias("p"), F.col("b.note").alias("q"))
         .distinct()
-    )
-    sets = all_sets.select("note", "triples")
-    both = pairs.join(sets.select(F.col("note").alias("p"), F.col("triples").alias("tp")), "p").join(sets.select(F.col("note").alias("q"), F.col("triples").alias("tq")), "q")
+    )
+
+
+def _similar(pairs: DataFrame, p_sets: DataFrame, q_sets: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs whose sets are as similar as the threshold asks, both ways round."""
+    both = pairs.join(p_sets.select(F.col("note").alias("p"), F.col("triples").alias("tp")), "p").join(q_sets.select(F.col("note").alias("q"), F.col("triples").alias("tq")), "q")
     shared = F.size(F.array_intersect("tp", "tq"))
-    similar = both.filter(shared >= F.lit(threshold) * (F.size("tp") + F.size("tq") - shared) - F.lit(1e-9)).select("p", "q")
-    return similar.unionByName(similar.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    similar = both.filter(shared >= F.lit(threshold) * (F.size("tp") + F.size("tq") - shared) - F.lit(1e-9))
+    return similar.select(F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))).alias("x")).select("x.*")
 
 
-def _resolve(nodes: DataFrame, links: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Takes nodes in order of id; gives entry_id, page, note and the smallest accepted id that each repeats (null: accepted).
+def _resolve(kinds: DataFrame, links: DataFrame, taken_pages: DataFrame | None, taken_notes: DataFrame | None) -> DataFrame:
+    """Takes kinds (entry_id, page, note) in order of id; gives the smallest accepted id that each repeats (null: accepted).
 
     An entry reads the hubs it could be stopped by (its page, its note's set, similar sets) and writes to its own two.
     In each round, an entry that sees an accepted smaller id in a hub is out, and one that sees no open smaller id is accepted.
-    Rounds are as many as the longest chain of decisions that wait for each other.
+    Rounds are as many as the longest chain of decisions that wait for each other; each looks at the open entries only.
     """
-    hub = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
-    wrote = lambda df: df.select("entry_id", F.explode(F.array_compact(F.array(F.when(F.col("page").isNotNull(), hub("p", "page")), F.when(F.col("note").isNotNull(), hub("n", "note"))))).alias("hub"))
-    near = nodes.filter(F.col("note").isNotNull()).select("entry_id", F.col("note").alias("p")).join(links, "p").select("entry_id", hub("n", "q").alias("hub"))
-    writes = wrote(nodes)
-    # accepted entries don't repeat each other, so a hub holds at most one
-    before = wrote(accepted).withColumnRenamed("entry_id", "taken")
-    sizes = writes.unionByName(near).groupBy("hub").agg(F.count("*").alias("members")).join(before, "hub", "left")
-    busy = sizes.filter((F.col("members") > 1) | F.col("taken").isNotNull()).select("hub", "taken")
-    reads = checkpointed(writes.unionByName(near).join(busy, "hub").select("entry_id", "hub", "taken"))
-    writes = checkpointed(writes.join(busy.select("hub"), "hub", "left_semi"))
+    # accepted entries don't repeat each other, so a hub holds at most one of them; a hub is named by the least id in it
+    pages = kinds.filter(F.col("page").isNotNull()).groupBy("page").agg((2 * F.min("entry_id")).alias("hub"), F.count("*").alias("members"))
+    pages = pages.join(taken_pages, "page", "left") if taken_pages is not None else pages.withColumn("taken", F.lit(None).cast("bigint"))
+    pages = pages.filter((F.col("members") > 1) | F.col("taken").isNotNull())
+    by_page = kinds.join(pages, "page").select("entry_id", "hub", "taken", F.lit(True).alias("own"))
+    noted = kinds.filter(F.col("note").isNotNull()).select("entry_id", "note")
+    reads = noted.withColumn("own", F.lit(True)).unionByName(noted.join(links.select(F.col("p").alias("note"), "q"), "note").select("entry_id", F.col("q").alias("note"), F.lit(False).alias("own")))
+    sizes = reads.groupBy("note").agg(F.count("*").alias("members"))
+    sizes = sizes.join(taken_notes, "note", "left") if taken_notes is not None else sizes.withColumn("taken", F.lit(None).cast("bigint"))
+    by_note = reads.join(sizes.filter((F.col("members") > 1) | F.col("taken").isNotNull()), "note").select("entry_id", (2 * F.col("note") + 1).alias("hub"), "taken", "own")
+    reads = checkpointed(by_page.unionByName(by_note))
+    writes = reads.filter("own").select("entry_id", "hub")
 
     state = reads.select("entry_id").distinct().withColumn("status", F.lit(0))
     while True:
         hubs = writes.join(state, "entry_id").groupBy("hub").agg(F.min(F.when(F.col("status") == 1, F.col("entry_id"))).alias("got"), F.min(F.when(F.col("status") == 0, F.col("entry_id"))).alias("open"))
-        seen = reads.join(hubs, "hub", "left").groupBy("entry_id").agg(F.min(F.least("taken", "got")).alias("got"), F.min("open").alias("open"))
+        waiting = reads.join(state.filter("status = 0").select("entry_id"), "entry_id", "left_semi")
+        seen = waiting.join(hubs, "hub", "left").groupBy("entry_id").agg(F.min(F.least("taken", "got")).alias("got"), F.min("open").alias("open"))
         decided = F.when(F.col("status") != 0, F.col("status")).when(F.col("got") < F.col("entry_id"), 2).when(F.col("open") < F.col("entry_id"), 0).otherwise(1)
-        nxt = checkpointed(state.join(seen, "entry_id").select("entry_id", decided.alias("status"), "got"))
-        state = nxt.select("entry_id", "status")
-        if nxt.filter("status = 0").isEmpty():
+        state = checkpointed(state.join(seen, "entry_id", "left").select("entry_id", decided.alias("status")))
+        if state.filter("status = 0").isEmpty():
             break
     # one look more, as a smaller accepted id may have been found after an entry was out
     hubs = writes.join(state.filter("status = 1"), "entry_id").groupBy("hub").agg(F.min("entry_id").alias("got"))
-    first = reads.join(hubs, "hub", "left").groupBy("entry_id").agg(F.min(F.least("taken", "got")).alias("got"))
-    found = first.join(state.filter("status = 2"), "entry_id").select("entry_id", F.col("got").alias("repeats"))
-    return nodes.join(found, "entry_id", "left")
+    out = reads.join(state.filter("status = 2"), "entry_id", "left_semi")
+    return out.join(hubs, "hub", "left").groupBy("entry_id").agg(F.min(F.least("taken", "got")).alias("repeats"))
+
+
+def _indexed(notes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Order and postings of an index over all notes."""
+    order = checkpointed(_order(notes))
+    return order, checkpointed(_prefixes(notes, order, threshold))
 
 
 def check_batch(batch: DataFrame, history: History | None = None, *, id_col: str = "entry_id", url_col: str = "url", note_col: str = "note", threshold: float = 0.5, least_words: int = 20) -> tuple[DataFrame, History]:
@@ -243,34 +285,88 @@ def check_batch(batch: DataFrame, history: History | None = None, *, id_col: str
     Returns (entry_id, repeats), where repeats is the smallest accepted id that the entry repeats and null for an accepted
     entry, and the history with the accepted rows added. Ids of a batch must be above those of its history.
 
+    The index keeps the order of triples it was made with; once the sets are three times those that the order was made of, order and index are
+    made anew (so each set is indexed again a bounded number of times, however many batches come).
+
     Defined results: an entry without address and long note is accepted; rows without id are left out; rows that share an
     id count once, as the smallest page and note; other columns of the batch are ignored; an empty batch gives no rows.
     """
-    rows = _keyed(batch, id_col, url_col, note_col, least_words)
-    rows = checkpointed(rows.groupBy("entry_id").agg(F.min("page").alias("page"), F.min(F.struct("note", "triples")).alias("x")).select("entry_id", "page", "x.note", "x.triples"))
-    # entries alike in page and note share their fate but for the first, so that hubs hold each kind once
-    keyed = rows.filter(F.col("page").isNotNull() | F.col("note").isNotNull())
-    kinds = keyed.groupBy("page", "note").agg(F.min("entry_id").alias("entry_id"))
-    sets = _sets(rows)
+    rows = checkpointed(_keyed(batch, id_col, url_col, note_col, least_words))
+    ids = rows.groupBy("entry_id").agg(F.min("page").alias("page"), F.min("key").alias("key"))
+    found = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("entry_id").alias("note"), F.first("triples").alias("triples"))
+    known = None
     if history is not None:
-        sets = sets.join(history.notes.select("note"), "note", "left_anti")
-    sets = checkpointed(sets)
-    order = checkpointed(_order(sets)) if history is None else history.order
-    postings = checkpointed(_prefixes(sets, order, threshold))
-    everything = sets if history is None else sets.unionByName(history.notes)
-    index = postings if history is None else postings.unionByName(history.postings)
-    links = _links(sets, postings, everything, index, threshold)
-    if history is not None:  # sets of the history that the batch has again
-        again = rows.filter(F.col("note").isNotNull()).select("note").distinct().join(history.notes.select("note", "n", "pivots", "triples"), "note")
-        links = links.unionByName(_links(again, _prefixes(again, order, threshold), history.notes, history.postings, threshold)).distinct()
-    taken = history.entries if history is not None else rows.select("entry_id", "page", "note").limit(0)
-    links = checkpointed(links)
-    nodes = _resolve(kinds, links, taken)
+        few = _few(rows)
+        known = checkpointed(_known(history.notes, rows, "key", few))  # sets of the history that the batch has again
+        found = found.join(known.select("key"), "key", "left_anti")
+    sets = checkpointed(_distances(found))
+    mine = sets if known is None else sets.unionByName(known)
+    if history is None:
+        order, postings = _indexed(sets, threshold)
+        pairs = checkpointed(_candidates(postings, postings, threshold, within=True))
+        links = checkpointed(_similar(pairs, sets, sets, threshold))
+        taken_pages = taken_notes = None
+        count = sets.count()
+        after = {"entries": None, "notes": sets, "postings": postings, "order": order}
+        state = (count, count, 0)
+    else:
+        triples = mine.select(F.explode("triples").alias("t"))
+        order = checkpointed(_known(history.order, triples, "t", few and _few(triples)))
+        postings = checkpointed(_prefixes(sets, order, threshold))
+        probes = postings.unionByName(checkpointed(_prefixes(known, order, threshold)))
+        inner = checkpointed(_candidates(postings, postings, threshold, within=True))
+        few_probes = few and _few(probes)
+        outer = checkpointed(_candidates(F.broadcast(probes) if few_probes else probes, history.postings, threshold, within=False))
+        met = _known(history.notes.select("note", "triples"), outer.select(F.col("q").alias("note")), "note", few and _few(outer))
+        links = checkpointed(_similar(inner, sets, sets, threshold).unionByName(_similar(outer, mine, met, threshold)).distinct())
+        hubs = mine.select("note").unionByName(links.select(F.col("q").alias("note")))
+        taken_pages = _known(history.entries, rows.select("page"), "page", few).select("page", F.col("entry_id").alias("taken"))
+        taken_notes = _known(history.entries, hubs, "note", few and _few(hubs)).select("note", F.col("entry_id").alias("taken"))
+        count = history.sets + sets.count()
+        after = {"entries": None, "notes": sets, "postings": postings}
+        state = (history.made_of, count, history.version)
+    kinds = ids.filter(F.col("page").isNotNull() | F.col("key").isNotNull())
+    noted = kinds.filter(F.col("key").isNotNull()).join(mine.select("key", "note"), "key").select("entry_id", "page", "note")
+    keyed = checkpointed(noted.unionByName(kinds.filter(F.col("key").isNull()).select("entry_id", "page", F.lit(None).cast("bigint").alias("note"))))
+    # entries alike in page and note share their fate but for the first, so that hubs hold each kind once
+    alike = keyed.groupBy("page", "note").agg(F.min("entry_id").alias("entry_id"), F.count("*").alias("copies"))
+    nodes = alike.join(_resolve(alike, links, taken_pages, taken_notes), "entry_id", "left")
+    lone = nodes.filter("copies = 1").select("entry_id", "page", "note", "repeats")
     first = F.col("k.entry_id")
     repeats = F.coalesce(F.col("k.repeats"), F.when(F.col("r.entry_id") != first, first))
     same = F.col("r.page").eqNullSafe(F.col("k.page")) & F.col("r.note").eqNullSafe(F.col("k.note"))
-    result = checkpointed(keyed.alias("r").join(nodes.alias("k"), same).select("r.entry_id", repeats.alias("repeats"), "r.page", "r.note"))
+    copies = keyed.alias("r").join(nodes.filter("copies > 1").alias("k"), same).select("r.entry_id", "r.page", "r.note", repeats.alias("repeats"))
+    result = checkpointed(lone.unionByName(copies))
     entries = result.filter(F.col("repeats").isNull()).select("entry_id", "page", "note")
-    added = {"entries": entries, "notes": sets, "postings": postings} | ({"order": order} if history is None else {})
-    bare = rows.filter(F.col("page").isNull() & F.col("note").isNull()).select("entry_id", F.lit(None).cast("bigint").alias("repeats"))
-    return result.select("entry_id", "repeats").unionByName(bare), History(taken.unionByName(entries), everything, index, order, added)
+    bare = ids.filter(F.col("page").isNull() & F.col("key").isNull()).select("entry_id", F.lit(None).cast("bigint").alias("repeats"))
+    added = after | {"entries": entries}
+    if history is None:
+        grown = History(entries, sets, postings, order, added, *state)
+    else:
+        notes = history.notes.unionByName(sets)
+        grown = History(history.entries.unionByName(entries), notes, history.postings.unionByName(postings), history.order, added, *state)
+        if count > 3 * history.made_of:
+            order, postings = _indexed(notes, threshold)
+            grown = History(grown.entries, notes, postings, order, added | {"postings": postings, "order": order}, count, count, history.version + 1)
+    return result.select("entry_id", "repeats").unionByName(bare), grown
+
+
+def check_in_loads(entries: DataFrame, path: str, bounds: list[int], batch_col: str = "batch_no", **columns: str) -> list[DataFrame]:
+    """The results of check_batch for loads of batches, each against the history that the loads before it left under path.
+
+    A load takes the batches up to its bound that no load before it took, and one more load the rest; batches without a number go with the first. The
+    history is written after each load and opened from there for the next, as by jobs of their own; nothing else passes between them.
+    """
+    spark, out, low = entries.sparkSession, [], None
+    number = F.col(batch_col)
+    for k, bound in enumerate([*bounds, None]):
+        part = entries
+        if bound is not None:
+            part = part.filter((number <= bound) | number.isNull() if low is None else number <= bound)
+        if low is not None:
+            part = part.filter(number > low)
+        checked, history = check_batch(part, History.open(spark, path) if k else None, **columns)
+        history.append(path, f"{k:05d}")
+        out.append(checked)
+        low = bound
+    return out

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernel.llm.batchdedup import check_batch
+from quernel.llm.batchdedup import check_in_loads
 from quernel.llm.conversations import dropped_rollouts, dropped_sessions, kept_turns, rollout_lines, session_lines
 from quernel.llm.mixing import mix_sources
 from quernel.llm.packing import container_report, pack_documents
 from quernel.llm.residue import classify_messages, page_body, residue
 from quernel.llm.sentences import sentence_units
 from quernel.llm.splitting import split_oversized
-from quernel.session import table
+from quernel.session import own_folder, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,16 +38,27 @@ def p3_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_messages(bodies.filter("body is not null")).filter("hosts >= 3").select("message", "times", "hosts", "class")
 
 
+def _checked_loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The queue in three loads against a stored history: the batches of its first half, those after but for the last, and the last batch."""
+    entries = table(spark, sf_dir, "queue_entries")
+    half, last = entries.agg(F.percentile_approx("batch_no", 0.5), F.max("batch_no")).first()
+    return check_in_loads(entries, own_folder(spark, "history"), [half, last - 1] if last is not None else [])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each queued entry that repeats an accepted one, with the one it repeats."""
-    checked, _ = check_batch(table(spark, sf_dir, "queue_entries"))
+    """Each queued entry that repeats an accepted one, with the one it repeats; checked load by load against the stored history."""
+    checked = reduce(DataFrame.unionByName, _checked_loads(spark, sf_dir))
     return checked.filter(F.col("repeats").isNotNull()).select(F.col("repeats").alias("entry_id_a"), F.col("entry_id").alias("entry_id_b"))
 
 
 def p4_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries that are new."""
-    checked, _ = check_batch(table(spark, sf_dir, "queue_entries"))
-    return checked.filter(F.col("repeats").isNull()).select("entry_id")
+    """The entries that are new, checked as in p4_found."""
+    return reduce(DataFrame.unionByName, _checked_loads(spark, sf_dir)).filter(F.col("repeats").isNull()).select("entry_id")
+
+
+def p4_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last batch's entries, each with the accepted entry of the stored history (or of the batch) that it repeats, or null."""
+    return _checked_loads(spark, sf_dir)[-1]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +100,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p4_accepted": p4_accepted, "p5_found": p5_found, "p5_turns": p5_turns,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p4_accepted": p4_accepted, "p4_last_batch": p4_last_batch, "p5_found": p5_found, "p5_turns": p5_turns,
     "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found,
 }
 

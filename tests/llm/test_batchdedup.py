@@ -4,7 +4,11 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quernel.llm.batchdedup import History, check_batch, page_key
+from pyspark.sql import functions as F
+
+from quernel.llm import batchdedup
+from quernel.llm.batchdedup import History, check_batch, check_in_loads, page_key
+from quernel.session import checkpointed
 
 SCHEMA = "entry_id bigint, url string, note string, page string, triples string"
 
@@ -103,3 +107,33 @@ def test_page_key(a, b, same):
 def test_page_key_of_anything():
     for u in (None, "", "  ", "not a url", "http://[bad", "mailto:x@y.z", "//a.example/x", "https://ünï.example/ä", "https://a.example:99999/"):
         assert page_key(u) is None or isinstance(page_key(u), str)
+
+
+def test_loads_through_the_stored_history(spark, tmp_path):
+    """Many loads, of which some are single rows; the index is made anew on the way; batches without a number go first."""
+    rows, path = rows_of(3, 300), str(tmp_path / "history")
+    batch_no = F.when(F.col("entry_id") < 5, None).otherwise(F.floor(F.col("entry_id") / 10))
+    parts = check_in_loads(frame(spark, rows).withColumn("batch_no", batch_no), path, [1, 2, 6, 15])
+    out = {r.entry_id: r.repeats for p in parts for r in p.collect()}
+    assert out == brute(rows)
+    history = History.open(spark, path)
+    assert history.version >= 1 and history.sets <= 3 * history.made_of
+    assert history.notes.count() == history.notes.select("key").distinct().count() == history.sets
+
+
+def test_small_batches_leave_the_history_where_it_lies(spark, tmp_path):
+    """No stored table is shuffled or sorted for a batch of few keys."""
+    rows, path = rows_of(4, 300), str(tmp_path / "history")
+    _, history = check_batch(frame(spark, rows[:290]))
+    history.append(path, "1")
+    stored = History.open(spark, path)
+    batch = checkpointed(batchdedup._keyed(frame(spark, rows[290:]), "entry_id", "url", "note", 20))
+    sets = batchdedup._distances(batch.filter("key is not null").selectExpr("key", "entry_id as note", "triples"))
+    probes = checkpointed(batchdedup._prefixes(sets, checkpointed(stored.order), 0.5))
+    assert batchdedup._few(probes)
+    plans = [batchdedup._known(stored.notes, batch, "key", True), batchdedup._known(stored.entries, batch, "page", True)]
+    for df in plans:
+        assert "hashpartitioning" not in df._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and "Broadcast" not in x]
+    found = batchdedup._candidates(F.broadcast(probes), stored.postings, 0.5, within=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in found and "BroadcastHashJoin" in found
