@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernel.llm.batchdedup import check_in_loads
-from quernel.llm.conversations import dropped_rollouts, dropped_sessions, kept_turns, rollout_lines, session_lines
+from quernel.llm.conversations import dropped_rollout_lines, dropped_rollouts, dropped_session_lines, dropped_sessions, kept_turns, rebuilt_at_gaps, rollout_lines, rollout_messages, session_lines
 from quernel.llm.mixing import mix_sources
 from quernel.llm.packing import container_report, pack_documents
 from quernel.llm.residue import classify_messages, page_body, residue
 from quernel.llm.sentences import sentence_units
 from quernel.llm.splitting import split_oversized
-from quernel.session import own_folder, table
+from quernel.session import checkpointed, own_folder, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of the conversations that are whole, in order, with their speakers."""
     sessions, messages, rollouts = (table(spark, sf_dir, t) for t in ("sessions", "messages", "rollout_lines"))
-    a = kept_turns(session_lines(sessions, messages), dropped_sessions(sessions, messages))
-    return a.unionByName(kept_turns(rollout_lines(rollouts), dropped_rollouts(rollouts)))
+    said, lines = checkpointed(session_lines(sessions, messages)), checkpointed(rollout_lines(rollouts))
+    return kept_turns(said, dropped_session_lines(sessions, said)).unionByName(kept_turns(lines, dropped_rollout_lines(lines)))
+
+
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollouts' messages put together by their times alone: split at calibrated gaps, speakers inferred where missing, stretches without replies dropped."""
+    return rebuilt_at_gaps(rollout_messages(table(spark, sf_dir, "rollout_lines")), ["channel"], "at")
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +105,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p4_accepted": p4_accepted, "p4_last_batch": p4_last_batch, "p5_found": p5_found, "p5_turns": p5_turns,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p4_accepted": p4_accepted, "p4_last_batch": p4_last_batch, "p5_found": p5_found, "p5_turns": p5_turns, "p5_rebuilt": p5_rebuilt,
     "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found,
 }
 

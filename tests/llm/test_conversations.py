@@ -84,3 +84,35 @@ def test_split_at_gaps(spark):
     got = {(r.who, r.k): r.part for r in c.split_at_gaps(rows, ["who"], "at", 3600).collect()}
     assert [got["a", k] for k in range(6)] == [0, 0, 0, 1, 1, 2] and got["b", 9] == 0
     assert c.split_at_gaps(rows, ["who"], "at").count() == 7
+
+
+def test_payloads_read_both_ways_alike(spark):
+    """What the variant reader takes comes out as the Python reader has it; what it refuses falls to the latter."""
+    odd = [
+        message("user", "hi"), message("Assistant", " ", "a", "<environment_context>x</environment_context>b"), '{"type":"message","role":3,"content":"x"}', '{"type":"message","content":[1,"a",{"type":"input_text","text":5}]}',
+        '{"a":1,"a":2,"type":"event"}', '{"type":"task_started","turn_id":"t"}', '{"type":"x","turn_id":7}', "[1]", '"text"', "{", "", None, "null", '{"type":"message","content":[{"type":"output_text","text":"<environment_context>open"}]}',
+    ]
+    rows = spark.createDataFrame([(k, "c", k + 1, None, "response_item", p, "x") for k, p in enumerate(odd)], LINES)
+    got = {r.tie: (r.valid, r.kind, r.turn_id, r.text) for r in c.rollout_lines(rows).collect()}
+    for k, p in enumerate(odd):
+        valid, kind, _, turn, text = c._payload(p)
+        assert got[k] == (valid, kind, turn, text), p
+
+
+def gapped(spark, rows):
+    return spark.createDataFrame(rows, "channel string, t bigint, tie bigint, role string, hint string, text string, part int").selectExpr("channel", "timestamp_seconds(t) as at", "tie", "role", "hint", "text", "part as extra")
+
+
+def test_rebuilt_at_gaps(spark):
+    rows = [
+        ("a", 0, 1, "User", None, "q1"), ("a", 10, 2, None, "assistant", "r1"), ("a", 20, 3, None, None, "q2"), ("a", 30, 4, "", None, "r2"), ("a", 30, 9, "", None, "r2"),
+        ("a", 90_000, 5, "user", None, "no reply"), ("a", 90_010, 6, "developer", None, "rules"), ("a", 200_000, 7, None, None, "guess"), ("a", 200_001, 8, None, None, "guess back"),
+        ("b", 86_390, 10, "user", None, "over"), ("b", 86_410, 11, "assistant", None, "midnight"), ("b", None, 12, "user", None, "lost"), ("c", 5, 13, "user", None, " "), (None, 0, 14, "user", None, "x"), (None, 1, 15, "assistant", None, "y"),
+    ]
+    got = c.rebuilt_at_gaps(gapped(spark, [(*r, 1) for r in rows]).drop("extra"), ["channel"], "at", 3600).collect()
+    turns = {(r.channel, r.part, r.turn_no): (r.speaker, r.text) for r in got}
+    assert turns == {
+        ("a", 0, 1): ("user", "q1"), ("a", 0, 2): ("assistant", "r1"), ("a", 0, 3): ("user", "q2"), ("a", 0, 4): ("assistant", "r2"), ("a", 2, 1): ("user", "guess"), ("a", 2, 2): ("assistant", "guess back"),
+        ("b", 0, 1): ("user", "over"), ("b", 0, 2): ("assistant", "midnight"),
+    }
+    assert c.rebuilt_at_gaps(gapped(spark, []), ["channel"], "at").count() == 0
