@@ -12,7 +12,7 @@ from quernel.llm.mixing import mix_sources
 from quernel.llm.packing import container_report, pack_documents
 from quernel.llm.residue import classify_messages, page_body, residue
 from quernel.llm.sentences import sentence_units
-from quernel.llm.splitting import split_oversized
+from quernel.llm.splitting import RANGE, split_files, split_oversized
 from quernel.session import checkpointed, own_folder, table
 
 
@@ -26,6 +26,26 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "articles"))
 
 
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections found in files, one per article, without whole-file loading: ranges of 64 KB are read where they lie."""
+    folder = own_folder(spark, "bodies")
+
+    def write(batches):  # noqa: ANN001, ANN202
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
+        for b in batches:
+            for k, body in zip(b["article_id"], b["body"], strict=True):
+                with system.open_output_stream(f"{base}/{k}.md") as f:
+                    f.write(body.encode())
+            yield b[["article_id"]]
+
+    table(spark, sf_dir, "articles").filter("body is not null").select("article_id", "body").mapInPandas(write, "article_id bigint").write.format("noop").mode("overwrite").save()
+    number = F.regexp_extract("path", "([0-9]+)\\.md$", 1).cast("bigint")
+    return split_files(spark, folder, range_bytes=RANGE).filter("piece_no = 1").select(number.alias("article_id"), "section_no")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fetches that hold no real page, or an unfilled placeholder."""
     return residue(table(spark, sf_dir, "fetches")).select("fetch_id")
@@ -105,7 +125,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p4_accepted": p4_accepted, "p4_last_batch": p4_last_batch, "p5_found": p5_found, "p5_turns": p5_turns, "p5_rebuilt": p5_rebuilt,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_files": p1_files, "p3_found": p3_found, "p3_messages": p3_messages, "p4_found": p4_found, "p4_accepted": p4_accepted, "p4_last_batch": p4_last_batch, "p5_found": p5_found, "p5_turns": p5_turns, "p5_rebuilt": p5_rebuilt,
     "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found,
 }
 
@@ -159,6 +179,7 @@ with said as (
 """
 SQL = {
     "p1_found": _SECTIONS + "select article_id, section_no from sections where size > 6000",
+    "p1_files": _SECTIONS + "select article_id, section_no from sections where size > 6000",
     "p5_found": _TURNS
     + """select conv_id from names where conv_id not in (select conv_id from turns)
     union select conv_id from unanswered

@@ -42,7 +42,7 @@ def test_pieces_cover_sections(spark, range_bytes):
         for n, p in enumerate(sorted(got[key], key=lambda p: p.piece_no), 1):
             assert p.piece_no == n and p.end_byte - p.start_byte <= limit
             assert p.start_byte + p.overlap_bytes == at and p.text.encode() == raw[p.start_byte : p.end_byte]
-            assert p.overlap_bytes == 0 if n == 1 else min(overlap - 3, at - a) <= p.overlap_bytes <= overlap
+            assert p.overlap_bytes == 0 if n == 1 else min(overlap // 2, at - a) - 3 <= p.overlap_bytes <= overlap
             assert p.first_line == raw.count(b"\n", 0, p.start_byte) + 1
             at = p.end_byte
         assert at == b
@@ -84,3 +84,19 @@ def test_null_and_repeated_ids(spark):
     got = split(rows)
     for i in (None, 3, 4):
         assert sorted(tuple(p)[1:] for p in got if p.article_id == i) == sorted(p for k, b in rows if k == i for p in own[b])
+
+
+def test_the_length_of_ranges_changes_nothing(spark):
+    rng = random.Random(11)
+    bodies = ["# one\n" + "word " * 60_000, text(rng, 2500), "# a\n" + "字" * 60_000, "".join(f"Sentence {i} of a long section. " for i in range(9000))]
+    rows = spark.createDataFrame([(k, b, "", "", 0) for k, b in enumerate(bodies)], SCHEMA)
+    cut = lambda n: sorted(map(tuple, s.split_oversized(rows, range_bytes=n).collect()))
+    one = cut(1)
+    assert all(len(b.encode()) > 2 * s.CELL for b in bodies) and len(one) > 100
+    assert one == cut(2 * s.CELL) == cut(1 << 22)
+
+
+def test_overlaps_begin_at_words(spark):
+    body = "# t\n" + "alpha beta gamma delta " * 2000
+    for p in s.split_oversized(spark.createDataFrame([(1, body, "", "", 0)], SCHEMA), range_bytes=1).collect():
+        assert p.start_byte == 0 or body[p.start_byte - 1] == " "
