@@ -56,3 +56,46 @@ def test_masked_messages_recur(spark):
 @pytest.mark.parametrize("text", ["", "   ", "!!!", "# ", "\u0000", "🚀🚀"])
 def test_class_of_anything(text):
     assert message_class(text) in ("own", "notice", "weak", "filler", "furniture")
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        # written before the rules, on no table
+        *[(t, ("notice",)) for t in (
+            "Page not found", "The long-lost page was not found.", "Error #: page-not-found", "This domain has been parked", "Your browser is out of date", "Proxy error", "Database connection error", "Under construction",
+            "Sorry, we can't find the page you are looking for.", "Access to this resource is forbidden.", "Your session has expired, please log in again.", "You must enable JavaScript to use this application.",
+            "This account has been suspended or is no longer available.", "The server took too long to respond.", "Too many requests, please slow down.",
+        )],
+        *[(t, ("filler",)) for t in ("Your tagline here", "Aenean lacinia bibendum nulla sed consectetur.", "Replace this sample text with your own.", "Vivamus sagittis lacus vel augue laoreet rutrum faucibus dolor auctor.")],
+        *[(t, ("maybe",)) for t in ("Pagina non trovata", "Deze pagina bestaat niet", "Strona nie istnieje", "Sayfa bulunamadı", "Página não encontrada", "ページが見つかりません")],
+        *[(t, ("own",)) for t in (
+            "This document does not exist in the archive of Vienna.", "We cannot open the tomb without permission from the museum.", "Cookies must cool on a wire rack before you serve them.", "The script requires two actors.",
+            "Loading a kiln takes patience.", "The bridge was closed for maintenance in March while the river froze.", "Her request was denied by the abbot, and the letters were burned.", "Visitors need a permit to enter the reserve.",
+            "The play has no script and relies on its audience.", "Forbidden fruit ripens early in the southern valleys.",
+        )],
+    ],
+)
+def test_classes_of_other_texts(text, kinds):
+    assert message_class(text) in kinds
+
+
+def test_long_notices_and_quotes():
+    long = "We are sorry, but the page you are looking for could not be found. " * 1
+    assert message_class("Sorry, " + "the page or file or document or image or video or link " * 8 + "could not be found on this server.") == "notice"
+    assert message_class('The word "' + "error " * 200 + '" stands here as a joke between monks.') == "own"
+    assert message_class(long) == "notice"
+
+
+def test_recurrence_decides_on_what_rules_cannot(spark):
+    """A phrase that stands beside what only each page says is told there; the same phrase where nothing else stands is a notice."""
+    told = "Die Anfrage war nicht verfügbar."
+    rows = [(i, f"https://h{i}.example/p", "t", f"Page number {'abcdefghij'[i]} has words of its own about the harbour.\n\n{told}", None, None, "x", "y", "z") for i in range(8)]
+    rows += [(100 + i, f"https://g{i}.example/p", "t", "Diese Seite wurde nicht gefunden.\n\nZum Anfang, bitte hier entlang.", None, None, "x", "y", "z") for i in range(4)]
+    got = {r.fetch_id for r in residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {100, 101, 102, 103}
+
+
+def test_placeholders_in_titles_of_pages_without_messages(spark):
+    assert run(spark, ["```\ncode only\n```"], title="Notes on ${name}") == {0: "placeholder"}
+    assert run(spark, ["```\ncode only\n```"]) == {}
