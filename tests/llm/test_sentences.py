@@ -1,7 +1,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quernel.llm.sentences import sentence_ends, sentence_spans, sentence_units, thai_lattice
+from quernel.llm.sentences import sentence_ends, sentence_spans, sentence_units, word_lattice
 
 CASES = [
     ["The job ended at 6 p.m.", "The lint rule drops entries.", "At 9:30 a.m. the run stopped."],
@@ -42,7 +42,7 @@ def test_joined_scripts(want):
 
 def test_thai():
     assert units(" ".join(THAI)) == THAI
-    assert thai_lattice("ผู้ดูแลตอบว่า")[0] == "ผู้ดูแล" and thai_lattice("") == []
+    assert word_lattice("ผู้ดูแลตอบว่า")[0] == "ผู้ดูแล" and word_lattice("") == []
 
 
 def test_blocks():
@@ -71,3 +71,48 @@ def test_frame(spark):
     assert [r.text for r in sentence_units(df.filter("doc_id = 1"), with_text=True).collect()] == ["A b.", "C d."] * 2
     assert sentence_units(df.limit(0)).count() == 0
     assert sentence_ends("x") == [1]
+
+
+@pytest.mark.parametrize(
+    "units",
+    [
+        # scripts and languages beyond those of the test tables
+        ["แม่ไปตลาดเมื่อเช้า", "พ่ออยู่บ้านดูโทรทัศน์", "น้องไปโรงเรียน"],
+        ["ฝนตกหนักมาก", "รถติดทั้งเมือง", "ผู้คนกลับบ้านช้า"],
+        ["یہ کتاب میری ہے۔", "وہ گھر گیا۔"],
+        ["Այսօր լավ օր է։", "Մենք տուն ենք գնում։"],
+        ["ខ្ញុំទៅផ្សារ។", "គាត់នៅផ្ទះ។"],
+        ["ကျွန်တော် ဈေးသွားတယ်။", "သူ အိမ်မှာ ရှိတယ်။"],
+        ["ሰላም ነው።", "እንዴት ነህ።"],
+        ["བཀྲ་ཤིས་བདེ་ལེགས།", "ང་བོད་པ་ཡིན།"],
+        ["今日は晴れです．", "明日は雨です．"],
+        ["我昨天去了", "他今天来了"],
+        ["今日は暑いですね", "水を飲みました"],
+        ["ຂ້ອຍໄປຕະຫຼາດ", "ລາວຢູ່ເຮືອນ"],
+        ["Il dott. Rossi è partito.", "Torna lunedì."],
+        ["Jan pojechał do Warszawy, np. Warszawa jest duża.", "Wrócił w piątek."],
+        ["A Exma. Senhora chegou.", "Ela saiu cedo."],
+        ["Dhr. Jansen woont hier.", "Hij werkt o.a. in Delft."],
+        ["The value is 3.14 today.", "e-mail works again.", "iPhone users complain."],
+        ["See p. 12 and vol. 3 for more.", "Nothing else."],
+    ],
+)
+def test_other_scripts_and_languages(units):
+    text = " ".join(units)
+    assert [text[a:b] for a, b in sentence_spans(text)] == units
+
+
+def test_runs_of_any_length_are_segmented_whole():
+    run = "แม่ไป" * 3000 + "ครับ"
+    assert word_lattice(run)[-1] == "ครับ" and "".join(word_lattice(run)) == run
+    text = run + " Next one here."
+    assert [text[a:b] for a, b in sentence_spans(text)] == [run, "Next one here."]
+
+
+def test_openers_are_learned_from_all_blocks(spark):
+    """A noun that opens blocks opens sentences after numbers too; with a word list of one's own for the lattice."""
+    texts = ["ดาวเทียมโคจรรอบโลก"] * 4 + ["ค่าคือ 14 MB ดาวเทียมโคจรรอบโลก"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, unit_no string")
+    ends = lambda **k: [r.end_char for r in sentence_units(df, **k).filter("doc_id = 4").orderBy("end_char").collect()]
+    assert ends(dictionary=frozenset(["ดาวเทียม"])) == [12, 31]
+    assert ends(dictionary=frozenset(["ดาวเทียม"]), learn=False) == [31]
