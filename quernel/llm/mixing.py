@@ -17,6 +17,12 @@ from quernel.llm.tokens import TOKENIZER, count_tokens
 from quernel.session import checkpointed
 
 ROWS_A_BUCKET = 50_000
+FEW = 100_000  # short rows up to this number are sent to every executor, more are joined
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Short rows, marked to be sent to every executor if they are few."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +46,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
         for b in batches:
             yield pd.DataFrame({"k": b["k"], "source": b["source"], "tokens": [count_tokens(t, tokenizer) for t in b["t"]]})
 
-    rows = documents.select(F.col(id_col).alias("k"), norm(source_col).alias("source"), F.col(text_col).cast("string").alias("t")).join(wanted.select("source"), "source", "left_semi").select("k", "source", "t")
+    rows = documents.select(F.col(id_col).alias("k"), norm(source_col).alias("source"), F.col(text_col).cast("string").alias("t")).join(_sent(wanted.select("source")), "source", "left_semi").select("k", "source", "t")
     sized = checkpointed(rows.mapInPandas(count, f"k {kind}, source string, tokens bigint").filter("tokens > 0"))
     have = sized.groupBy("source").agg(F.count("*").alias("available_documents"), F.sum("tokens").alias("available_tokens"))
     plan = checkpointed(wanted.join(have, "source", "left").fillna(0, ["available_documents", "available_tokens"]))  # a row per target
@@ -51,17 +57,20 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     plan = plan.withColumn("copies", copies).withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) / float(1 << 30))
 
     # ranks by size, source by source: along sizes, any stretch of copies holds small and large documents in proportion, so
-    # the tokens come out near their expectation. They are counted in buckets of like sizes, cut by a hash to a bounded
-    # number of rows, which a prefix sum of the buckets' rows joins up.
-    cuts = max(1, -(-sized.count() // ROWS_A_BUCKET))
+    # the tokens come out near their expectation. They are counted in classes of like sizes, large ones cut by a hash into buckets of a bounded
+    # number of rows; the prefix sum runs over a source's classes first (a few hundred rows), then over each class's buckets.
+    size = F.floor(F.log2("tokens") * 16).cast("int")
+    classes = sized.groupBy("source", size.alias("size")).agg(F.count("*").alias("n"))
+    over = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = F.ceil(F.col("n") / ROWS_A_BUCKET).cast("int")
+    classes = checkpointed(classes.select("source", "size", cuts.alias("cuts"), F.coalesce(F.sum("n").over(over("source", "size")), F.lit(0)).alias("base")))
     h = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    bucket = F.struct(F.floor(F.log2("tokens") * 16).cast("int").alias("size"), F.pmod(F.shiftright("h", 8), F.lit(cuts)).cast("int").alias("cut"))
-    placed = checkpointed(sized.withColumn("h", h).withColumn("bucket", bucket))
-    sizes = placed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select("source", "bucket", before.alias("shift"))
-    inner = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("tokens", "h"))
-    ranked = placed.withColumn("r", inner).join(shifts, ["source", "bucket"]).join(plan.select("source", "copies", "offset"), "source")
+    placed = sized.withColumn("h", h).withColumn("size", size).join(_sent(classes), ["source", "size"])
+    placed = checkpointed(placed.withColumn("cut", F.pmod(F.shiftright("h", 8), F.col("cuts")).cast("int")).drop("cuts"))
+    buckets = placed.groupBy("source", "size", "cut", "base").agg(F.count("*").alias("n"))
+    shifts = checkpointed(buckets.select("source", "size", "cut", (F.col("base") + F.coalesce(F.sum("n").over(over("source", "size", "cut")), F.lit(0))).alias("shift")))
+    inner = F.row_number().over(Window.partitionBy("source", "size", "cut").orderBy("tokens", "h"))
+    ranked = placed.withColumn("r", inner).join(_sent(shifts), ["source", "size", "cut"]).join(_sent(plan.select("source", "copies", "offset")), "source")
     rank = F.col("r") + F.col("shift")
     emitted = F.floor(rank * F.col("copies") + F.col("offset")) - F.floor((rank - 1) * F.col("copies") + F.col("offset"))
     mix = ranked.withColumn("times", emitted.cast("int")).filter("times > 0").select(F.col("k").alias(id_col), "source", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_no"), "tokens")

@@ -18,13 +18,9 @@ def encoding(path: str = TOKENIZER):  # noqa: ANN201
 
     kept = vars(tiktoken).setdefault("_kept_encodings", {})
     if path not in kept:
-        try:
-            from public_tokenizers import PATTERN as pattern
-        except ImportError:
-            pattern = PATTERN
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        kept[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        kept[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return kept[path]
 
 

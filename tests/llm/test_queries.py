@@ -17,7 +17,7 @@ def test_query(spark, small, name):
     assert len({c.lower() for c in df.columns}) == len(df.columns)
     if name in SQL:
         con = duckdb.connect()
-        for t in ("articles", "sessions", "messages", "rollout_lines"):
+        for t in ("articles", "sessions", "messages", "rollout_lines", "queue_entries", "documents", "mix_targets"):
             con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
         want = con.sql(f"select {', '.join(df.columns)} from ({SQL[name]})").fetchall()
         assert sorted(map(tuple, rows)) == sorted(want)
