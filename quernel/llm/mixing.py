@@ -30,7 +30,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
 
     Sources are compared trimmed and in lower case. Without total_tokens the mix is as large as it can be with every source
     that has text at its share. With a larger total, a source that falls short gives its documents max_repeats times each and
-    the report shows by how much. The report has source, target_share, max_repeats, available_documents, available_tokens,
+    the report shows by how much. The report has source, target_share, max_repeats, available_documents, available_tokens, largest_tokens (of a document),
     copies (expected per document), documents (rows emitted), tokens and reached_share (of the tokens emitted).
 
     Defined results: documents of other sources or null ones, and texts without tokens, are left out; a source without text
@@ -48,8 +48,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
 
     rows = documents.select(F.col(id_col).alias("k"), norm(source_col).alias("source"), F.col(text_col).cast("string").alias("t")).join(_sent(wanted.select("source")), "source", "left_semi").select("k", "source", "t")
     sized = checkpointed(rows.mapInPandas(count, f"k {kind}, source string, tokens bigint").filter("tokens > 0"))
-    have = sized.groupBy("source").agg(F.count("*").alias("available_documents"), F.sum("tokens").alias("available_tokens"))
-    plan = checkpointed(wanted.join(have, "source", "left").fillna(0, ["available_documents", "available_tokens"]))  # a row per target
+    have = sized.groupBy("source").agg(F.count("*").alias("available_documents"), F.sum("tokens").alias("available_tokens"), F.max("tokens").alias("largest_tokens"))
+    plan = checkpointed(wanted.join(have, "source", "left").fillna(0, ["available_documents", "available_tokens", "largest_tokens"]))  # a row per target
     if total_tokens is None:
         can = F.col("available_tokens") * F.col("max_repeats") / F.col("target_share")
         total_tokens = plan.filter("available_tokens > 0 and max_repeats > 0 and target_share > 0").agg(F.min(can)).first()[0] or 0

@@ -155,8 +155,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of the mix, by source: how many documents it has, whether none is used too often and whether its tokens are its share to within two of its largest documents."""
     mix, report = _mixed(spark, sf_dir)
-    used = mix.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("tokens").alias("size")).groupBy("source").agg(F.max("n").alias("most"), F.max("size").alias("largest"))
-    near = F.abs(F.col("tokens") - F.col("copies") * F.col("available_tokens")) <= 2 * F.coalesce("largest", "available_tokens")
+    used = mix.groupBy("source", "doc_id").agg(F.count("*").alias("n")).groupBy("source").agg(F.max("n").alias("most"))
+    near = F.abs(F.col("tokens") - F.col("copies") * F.col("available_tokens")) <= 2 * F.col("largest_tokens")
     return report.join(used, "source", "left").select("source", "available_documents", F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("within_repeats"), near.alias("near"))
 
 
