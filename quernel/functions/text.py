@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # Words left out of token sets.
 STOPWORDS = tuple(
-    """that this with from have were been they their there which when what will would could should about into over than then them these those
-    some such only also more most very just like""".split()
+    """this that with from have will when then than your they them what which into over more most some such also only very much each about would could
+    should their there these those because while""".split()
 )
 FENCES = "(?s)```.*?(?:```|\\z)"
 WIKILINK = "\\[\\[([^\\]\\[|]+)(?:\\|[^\\]]*)?\\]\\]"

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from quernel.functions.text import wikilinks
+from quernel.session import checkpointed
 
 
 def link_edges(articles: DataFrame, src: str = "rel", body: str = "body") -> DataFrame:
@@ -94,10 +95,21 @@ def host_scores(
 
 
 def shared_neighbours(edges: DataFrame, least: int = 2) -> DataFrame:
-    """a, b, shared: pages that link to at least so many of the same targets, each pair once."""
-    e = edges.select("src", "dst")
-    pairs = e.select(F.col("src").alias("a"), "dst").join(e.select(F.col("src").alias("b"), "dst"), "dst").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    """a, b, shared: pages that link to at least so many of the same targets, each pair once.
+
+    Pages that share ``least`` targets share one of all but the last least - 1 of each page's targets in an order from seldom to often linked. So a
+    page is met through its seldom linked targets, and one that a large share of pages links to brings pairs together only where nothing else
+    could. What meets is then counted over whole lists.
+    """
+    e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    often = e.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1")
+    lists = e.join(often, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("n", "dst"))).alias("x")).filter(F.size("x") >= least)
+    lists = checkpointed(lists.select("src", F.transform("x", lambda s: s["dst"]).alias("targets")))
+    met = lists.select("src", F.explode(F.slice("targets", F.lit(1), F.size("targets") - (least - 1))).alias("dst"))
+    pairs = met.select(F.col("src").alias("a"), "dst").join(met.select(F.col("src").alias("b"), "dst"), "dst").filter("a < b").select("a", "b").distinct()
+    side = lambda n: lists.select(F.col("src").alias(n), F.col("targets").alias(f"t{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("shared")).filter(F.col("shared") >= least)
 
 
 def missing_inverse(edges: DataFrame, inverse: Mapping[str, str]) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernel.functions.text import urls
+from quernel.operators.ordering import numbered
 
 
 def first_of(rows: DataFrame, keys: Sequence[Column], order: Sequence[str]) -> DataFrame:
@@ -97,5 +98,4 @@ def number_facts(chapters: DataFrame) -> DataFrame:
 
 def group_index(articles: DataFrame, folder_of: Column, title: str) -> DataFrame:
     """Titles by folder, in order: the index of a corpus. A title is one row, so that a folder may hold any number."""
-    place = F.row_number().over(Window.partitionBy("folder").orderBy(title))
-    return articles.select(folder_of.alias("folder"), F.col(title)).distinct().withColumn("place", place)
+    return numbered(articles.select(folder_of.alias("folder"), F.col(title)).distinct(), ["folder"], [title], "place")

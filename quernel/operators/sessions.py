@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quernel.functions.markup import head_and_tail
 from quernel.functions.text import word_count
 from quernel.functions.times import instant_micros, tidy
+from quernel.operators.ordering import numbered
+from quernel.session import checkpointed
 
 
 def session_stats(sessions: DataFrame, messages: DataFrame) -> DataFrame:
@@ -53,23 +55,34 @@ def score_histogram(scores: DataFrame, edges: Sequence[int] = (50, 20, 10, 5)) -
 def related_sessions(sessions: DataFrame, window_days: int = 7, most: int = 5) -> DataFrame:
     """For each session, up to so many others of its project updated within so many days, newest first.
 
-    A band join: an equality on project and on buckets of the band's width, of which a session looks into three; the exact band
-    is checked after. Only ids and times are joined.
+    A band join that meets no more than most + 1 rows a session, however many the project has: a project's sessions are numbered in order of time,
+    each session learns the number of the last one before its band ends, and looks up that number and those next below it. Numbers come
+    from hours of a project, joined up by a prefix sum over one row per hour.
     """
     width = window_days * 86_400_000_000
     timed = sessions.select("session_id", "project_path", instant_micros(F.col("updated_at")).alias("at")).filter("at is not null and project_path is not null and session_id is not null")
-    held = timed.select("project_path", F.col("session_id").alias("other"), F.col("at").alias("other_at"), F.floor(F.col("at") / F.lit(width)).alias("bucket"))
-    b = F.floor(F.col("at") / F.lit(width))
-    looks = timed.withColumn("bucket", F.explode(F.array(b - 1, b, b + 1)))
-    near = looks.join(held, ["project_path", "bucket"]).filter((F.col("session_id") != F.col("other")) & (F.abs(F.col("at") - F.col("other_at")) < width))
-    w = Window.partitionBy("session_id").orderBy(F.col("other_at").desc(), "other")
+    timed = checkpointed(timed)
+    held = timed.select("project_path", "session_id", "at", F.col("at").alias("t"), F.lit(1).alias("held"))
+    looks = timed.select("project_path", "session_id", "at", (F.col("at") + F.lit(width)).alias("t"), F.lit(0).alias("held"))
+    hour = F.floor(F.col("t") / F.lit(3_600_000_000))
+    both = held.unionByName(looks).withColumn("hour", hour)
+    order = [F.col("t"), F.col("held"), F.col("session_id").desc()]  # a band ends before what lies on its end; of equal times the smaller name is newer
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy("project_path", "hour").agg(F.sum("held").alias("n")).select("project_path", "hour", F.coalesce(F.sum("n").over(before(Window.partitionBy("project_path").orderBy("hour"))), F.lit(0)).alias("base"))
+    own = F.sum("held").over(Window.partitionBy("project_path", "hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = checkpointed(both.withColumn("own", own).join(sums, ["project_path", "hour"]).select("project_path", "session_id", "at", "held", (F.col("own") + F.col("base")).alias("no")))
+    wanted = placed.filter("held = 0").select("project_path", "session_id", "at", F.explode(F.sequence(F.greatest(F.col("no") - most, F.lit(1)), F.col("no"))).alias("no")).filter("no > 0")
+    others = placed.filter("held = 1").select("project_path", F.col("session_id").alias("other"), F.col("at").alias("other_at"), "no")
+    near = wanted.join(others, ["project_path", "no"]).filter((F.col("session_id") != F.col("other")) & (F.abs(F.col("at") - F.col("other_at")) < width))
+    w = Window.partitionBy("session_id").orderBy(F.col("other_at").desc(), "other")  # most + 1 rows at most
     return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("session_id", "other", "place")
 
 
 def first_before(messages: DataFrame, first: Column, second: Column, most_sequence: int = 300) -> DataFrame:
     """session, has_second and first_leads: whether a first event comes before the first second event among the assistant's messages.
 
-    Positions are compared as (sequence, id), so no rows are numbered and no session is gathered.
+    Positions are compared as (sequence, id), so no rows are numbered and no session is gathered. By the funnel's definition rows of a
+    larger sequence than ``most_sequence`` don't count: what comes later is left out, in both events.
     """
     rows = messages.filter((F.lower(tidy(F.col("type"))) == "assistant") & (F.coalesce("sequence", F.lit(0)) <= most_sequence))
     at = F.struct(F.coalesce("sequence", F.lit(0)).alias("s"), F.col("id").alias("i"))
@@ -86,5 +99,4 @@ def transcript_turns(sessions: DataFrame, messages: DataFrame, most: int = 1200,
     tool = F.when(F.coalesce("text_content", F.lit("")) == "", head_and_tail(tidy(F.col("content")), most, keep))
     said = messages.select(F.col("session_id").alias("sid"), F.col("id").alias("mid"), F.coalesce("sequence", F.lit(0)).alias("at"), F.lower(F.trim("type")).alias("role"), F.coalesce(tool, "text_content").alias("text"))
     rows = said.filter(word_count(F.col("text")) > 0).join(sessions.select("id", "session_id"), F.col("sid") == F.col("id"))
-    turn = F.row_number().over(Window.partitionBy("id").orderBy("at", "mid")).cast("bigint")
-    return rows.select("session_id", turn.alias("turn"), "role", "text")
+    return numbered(rows.select("id", "session_id", "at", "mid", "role", "text"), ["id"], ["at", "mid"], "turn").select("session_id", "turn", "role", "text")

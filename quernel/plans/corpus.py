@@ -183,6 +183,24 @@ def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_links(table(spark, d, "documents"), "doc_id", "text")
 
 
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(n, '[^a-z0-9]+'), lambda x: strlen(x) >= 4 and not list_contains(" + str(list(X.STOPWORDS)) + ", x)))"
+
+
+@query(f"""with t as (select min(doc_id) as id, n from (select doc_id, {_NORMAL.format(c='text')} as n from documents where text is not null) group by n), s as (select id, {_TOKENS} as s from t), w as (select id, len(s) as n, unnest(s) as k from s where len(s) >= 40),
+p as (select x.id as a, y.id as b, x.n as m, y.n as n, count(*) as c from w x join w y on x.k = y.k and x.id < y.id and least(x.n, y.n) >= 0.3 * greatest(x.n, y.n) group by all)
+select a, b, c as shared, c / (m + n - c) as jaccard, c / least(m, n) as overlap from p where c / (m + n - c) >= 0.55 or (c / least(m, n) >= 0.7 and greatest(m, n) / least(m, n) <= 4 and c / (m + n - c) >= 0.3)""")
+def duplicate_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents whose sets of words are alike, or of which one holds most of the other's."""
+    return dedup.alike_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"with t as (select distinct {_NORMAL.format(c='text')} as n from documents where text is not null), k as (select unnest({_TOKENS}) as token from t) select token, count(*) as held from k group by 1")
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """In how many different documents each word of the token sets stands."""
+    t = table(spark, d, "documents").filter("text is not null").select(X.dedup_normal(F.col("text")).alias("n")).distinct()
+    return t.select(F.explode(X.token_set(F.col("n"))).alias("token")).groupBy("token").agg(F.count("*").alias("held"))
+
+
 _EDGES = """edges as (select distinct rel as src, trim(l) as dst from (select rel, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(body, '(?s)```.*?(?:```|\\z)', ' ', 'g'), '``[^`]*``', ' ', 'g'), '`[^`\\n]*`', ' ', 'g'), '\\[\\[([^\\]\\[|]+)(?:\\|[^\\]]*)?\\]\\]', 1)) as l from articles) where trim(l) <> '')"""
 
 
@@ -219,16 +237,21 @@ def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return graph.shared_neighbours(graph.link_edges(_articles(spark, d)))
 
 
-@query("""with t as (select article_id as page, domain, unnest(list_distinct(list_transform(tags, lambda x: lower(trim(x))))) as tag from articles), p as (
-select a.page as orphan, b.page as host, count(*) * 3 + case when any_value(a.domain) = any_value(b.domain) and any_value(a.domain) <> 'general' then 5 else 0 end as score from t a join t b on a.tag = b.tag and a.page <> b.page group by 1, 2)
-select orphan, host, cast(score as bigint) as score from p where score >= 9""")
+_TITLE_WORDS = "list_filter(list_transform(regexp_split_to_array(lower(title), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: trim(x, '.,;:!?()[]{}\"''`')), lambda x: strlen(x) >= 4 and not list_contains(" + str(list(graph.SMALL_WORDS)) + ", x))"
+_HEAD = "lower(coalesce(" + ", ".join(f"try(decode(encode(body)[1:{n}]))" for n in (2500, 2499, 2498, 2497)) + "))"
+
+
+@query(f"""with a as (select article_id as page, rel, domain, list_distinct(list_transform(coalesce(tags, []), lambda x: lower(trim(x)))) as tags, coalesce({_TITLE_WORDS}, []) as words, coalesce({_HEAD}, '') as head from articles),
+p as (select x.page as orphan, y.page as host, 3 * len(list_intersect(list_filter(x.tags, lambda t: t is not null), y.tags)) + 2 * len(list_filter(x.words, lambda w: contains(y.head, w)))
++ case when x.domain = y.domain and x.domain not in ('general', '') then 5 else 0 end + case when y.rel like '%/overview.md' then 4 else 0 end as score from a x join a y on x.page <> y.page)
+select orphan, host, cast(score as bigint) as score from p where score >= 8""")
 def host_scores(spark: SparkSession, d: str) -> DataFrame:
     """Articles that each article could be linked from, by tags, domain, words of its title and overviews; a score of 8 at least."""
     a = _articles(spark, d).select(F.col("article_id").alias("page"), "tags", "domain", "title", "body", "rel")
     return graph.host_scores(a, a, least=8)
 
 
-@query("""with e as (select l_suppkey as src, 'supplies' as kind, l_partkey as dst from lineitem where l_quantity > 45 union select l_partkey, 'supplied_by', l_suppkey from lineitem where l_quantity > 48)
+@query("""with e as (select l_suppkey as src, 'supplies' as kind, l_partkey as dst from lineitem union select l_partkey, 'supplied_by', l_suppkey from lineitem where l_quantity > 48)
 select src, kind, dst, 'supplied_by' as inverse from e x where kind = 'supplies' and not exists (select 1 from e y where y.kind = 'supplied_by' and y.src = x.dst and y.dst = x.src)""")
 def inverse_gap(spark: SparkSession, d: str) -> DataFrame:
     """Typed edges whose inverse isn't stated."""
@@ -238,7 +261,7 @@ def inverse_gap(spark: SparkSession, d: str) -> DataFrame:
     return graph.missing_inverse(out.union(back).distinct(), {"supplies": "supplied_by"})
 
 
-@query("""with e as (select o_orderkey as src, least(o_custkey, o_orderkey % 500) as first, greatest(o_custkey, o_orderkey % 500) as second from orders where o_orderkey % 7 < 3)
+@query("""with e as (select o_orderkey as src, least(o_custkey, o_orderkey % 500) as first, greatest(o_custkey, o_orderkey % 500) as second from orders)
 select first, second, list_sort(list(distinct src)) as sources, case when first % 2 = 0 then '2026-01-01' else '2026-05-07' end as first_observed from e group by first, second""")
 def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Unordered pairs of edges with their sources; when first seen stays from the ledger before."""
@@ -351,7 +374,7 @@ def domain_touches(spark: SparkSession, d: str) -> DataFrame:
     return intake.touches(_articles(spark, d).filter("domain is not null"), "domain", "rel")
 
 
-@query("select folder, title, cast(row_number() over (partition by folder order by title) as int) as place from (select distinct case when contains(rel, '/') then regexp_replace(rel, '/[^/]*$', '') else '' end as folder, title from articles where title is not null)")
+@query("select folder, title, row_number() over (partition by folder order by title) as place from (select distinct case when contains(rel, '/') then regexp_replace(rel, '/[^/]*$', '') else '' end as folder, title from articles where title is not null)")
 def corpus_index(spark: SparkSession, d: str) -> DataFrame:
     """Titles by folder, in order."""
     return intake.group_index(_articles(spark, d).filter("title is not null"), folder(F.col("rel")), "title")
@@ -393,8 +416,9 @@ def fact_ids(spark: SparkSession, d: str) -> DataFrame:
     return intake.number_facts(_articles(spark, d).select(F.col("article_id").alias("chapter"), F.col("tags").alias("facts")))
 
 
-@query("""select s.session_id, row_number() over (partition by s.id order by coalesce(m.sequence, 0), m.id) as turn, lower(trim(m.type, ' \t\n')) as role, case when length(m.text_content) <= 120 then m.text_content else left(m.text_content, 60) || chr(10) || '[...]' || chr(10) || right(m.text_content, 60) end as text
-from messages m join sessions s on s.id = m.session_id where trim(m.text_content, ' \t\n\r') <> ''""")
+@query("""with m as (select session_id as sid, id as mid, coalesce(sequence, 0) as pos, lower(trim(type, ' ')) as role, case when coalesce(text_content, '') <> '' then text_content
+when length(trim(content, ' \t\n\r')) <= 1200 then trim(content, ' \t\n\r') else left(trim(content, ' \t\n\r'), 600) || chr(10) || '[...]' || chr(10) || right(trim(content, ' \t\n\r'), 600) end as text from messages)
+select s.session_id, row_number() over (partition by s.id order by pos, mid) as turn, role, text from m join sessions s on s.id = m.sid where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
     """Turns of each session in order: what was said, whole, and of turns without it the tool text, trimmed to head and tail over 1,200 characters."""
     return S.transcript_turns(table(spark, d, "sessions"), table(spark, d, "messages"))

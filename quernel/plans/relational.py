@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quernel.operators.joins import as_of, in_range
-from quernel.session import table
+from quernel.operators.ordering import stretches
+from quernel.session import own_folder, table
 from quernel.streaming.watch import windowed_counts
 
 QUERIES: dict = {}
@@ -100,11 +99,8 @@ def as_of_join(spark: SparkSession, d: str) -> DataFrame:
 select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 2 hour then 0 else 1 end as new from events)) group by 1, 2) group by 1""")
 def sessionized_events(spark: SparkSession, d: str) -> DataFrame:
     """Stretches of a user's events without a gap of two hours."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("user_id", "ts", "event_id")
-    marked = e.withColumn("new", F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 2 hours"), 0).otherwise(1))
-    part = marked.withColumn("s", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return part.groupBy("user_id", "s").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+    parts = stretches(table(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id", 7200)
+    return parts.groupBy("user_id", "stretch").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
 @query("select event_type, cast(date_trunc('hour', ts) as timestamp) as hour, count(*) as events from events group by 1, 2")
@@ -143,13 +139,18 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.sum(k).alias("k"), F.count("*").alias("n"))
 
 
-@query(None)
+@query("select event_type, cast(date_trunc('hour', ts) as timestamp) as hour, count(*) as events from events group by 1, 2")
 def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly windows of the events as a stream with a watermark, driven to its end: rows only, as late windows stay open."""
-    schema = table(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = "quernel_windows_" + next(tempfile._get_candidate_names())
-    q = windowed_counts(source).select("event_type", F.col("span.start").alias("start"), "events").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Hourly windows of the events as a stream with a watermark, closed by a last event of far in the future; its results and its state lie in the shared folder."""
+    path = own_folder(spark, "windows")
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{path}/in/a")
+    last = events.limit(1).withColumn("ts", F.lit("2200-01-01 00:00:00").cast("timestamp")).withColumn("event_type", F.lit(None).cast("string"))
+    source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+    hours = windowed_counts(source).select("event_type", F.col("span.start").cast("timestamp_ntz").alias("hour"), "events")
+    for k in range(3):  # the events, the last event, and the batch without rows in which it closes all windows before it
+        sink = hours.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+        sink.start(f"{path}/out").awaitTermination()
+        if k == 0:
+            last.write.parquet(f"{path}/in/b")
+    return spark.read.schema(hours.schema).parquet(f"{path}/out")
