@@ -15,17 +15,17 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
     Rows are dealt to ranges of (keys, order), so a large group lies in several; each range counts its own rows, and a prefix sum over
     one row per group and range joins them up. Null keys are a group, null values come first.
     """
-    dealt = rows.repartitionByRange(*[F.col(c).asc() for c in (*keys, *order)]).withColumn("_part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(*[F.col(c).asc() for c in (*keys, *order)]).withColumn("_range", F.spark_partition_id())
     dealt = checkpointed(dealt)
-    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_part").alias("_p"), before.alias("_shift")).filter("_shift > 0")
-    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    same = F.col("_part") == F.col("_p")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_range_n"))
+    before = F.coalesce(F.sum("_range_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(*[F.col(c).alias(f"_range_k{i}") for i, c in enumerate(keys)], F.col("_range").alias("_range_of"), before.alias("_range_shift")).filter("_range_shift > 0")
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_range_of")
     for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    placed = dealt.withColumn("_own", own).join(shifts, same, "left")
-    return placed.select(*rows.columns, (F.col("_own") + F.coalesce("_shift", F.lit(0))).cast("bigint").alias(name))
+        same = same & F.col(c).eqNullSafe(F.col(f"_range_k{i}"))
+    placed = dealt.withColumn("_range_own", own).join(shifts, same, "left")
+    return placed.select(*rows.columns, (F.col("_range_own") + F.coalesce("_range_shift", F.lit(0))).cast("bigint").alias(name))
 
 
 def stretches(rows: DataFrame, keys: Sequence[str], at: str, tie: str, gap_seconds: float, block_seconds: int = 86_400) -> DataFrame:
