@@ -70,7 +70,7 @@ class _Stream(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         items, following = self.fetch(self.options, start["cursor"], int(self.options.get("pageSize", "1000")))
-        return _rows(items), {"cursor": following}
+        return iter(list(_rows(items))), {"cursor": following}  # what is read here goes to the tasks as it is
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         cursor = start["cursor"]

@@ -2,10 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quernel.plans import corpus, relational, rolling
+from quernel.plans import corpus, logs, pages, relational, rolling
 
-CORE = {**rolling.QUERIES, **corpus.QUERIES, **relational.QUERIES}
-SQL = {**rolling.SQL, **corpus.SQL, **relational.SQL}
+CORE = {k: q for m in (rolling, corpus, relational, pages, logs) for k, q in m.QUERIES.items()}
+SQL = {k: q for m in (rolling, corpus, relational, pages, logs) for k, q in m.SQL.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings cost_entries articles fetches queue_entries sessions messages rollout_lines mix_targets".split()
 
 
@@ -37,3 +37,8 @@ def test_entry(spark, small):
 def test_without_llm(monkeypatch):
     monkeypatch.setattr(entry, "LLM", "quernel.gone")
     assert set(entry.queries()) == set(CORE)
+
+
+def test_with_a_broken_part_of_llm(monkeypatch):
+    monkeypatch.setattr(entry.importlib.import_module("quernel.llm"), "QUERY_MODULES", ["quernel.llm.gone"])
+    assert set(CORE) == set(entry.queries())
