@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from quernel.functions.text import dedup_normal, token_set
 from quernel.session import checkpointed
 
+SENT = 4_000_000  # sets of so many words in all, 8 bytes each, are sent to every executor; larger ones are joined
+
 
 def exact_classes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: id, class_id (the smallest id with an equal normal form) and copies (the class's size).
@@ -51,17 +53,18 @@ def near_links(documents: DataFrame, id_col: str, text_col: str, words: int = 5,
     pairs = pairs.filter(F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= need)
     pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("double")
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+    m, n, shared = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    near = both.filter(shared >= F.lit(threshold / (1 + threshold)) * (m + n) - F.lit(1e-9)).select("a", "b", shared.cast("double").alias("shared"), (m + n).alias("both"))
+    return near.select("a", "b", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"))
 
 
 def alike_pairs(documents: DataFrame, id_col: str, text_col: str, jaccard: float = 0.55, overlap: float = 0.70, ratio: float = 4.0, floor: float = 0.30, least_tokens: int = 40) -> DataFrame:
     """a, b, shared, jaccard, overlap: pairs of different bodies whose sets of words (``token_set`` of the normal form) are alike.
 
     Alike are sets of ``least_tokens`` or more with a Jaccard similarity of jaccard, or with overlap of the smaller one's words, sizes within ratio and
-    a similarity of floor. Either way the smaller set shares most of its words: c = min(overlap, 2 jaccard / (1 + jaccard)) of them at least. So it is probed with the
-    (1 - c) n + 1 words of it that fewest bodies hold, against all but the last floor * n words of the larger sets; places in
-    that order bound what can still be shared, and what is left is compared in full. No pair is lost, and no word is passed over for being common.
+    a similarity of floor. Either way the smaller set shares most of its words: c = min(overlap, 2 jaccard / (1 + jaccard)) of them at least. So of the
+    (1 - c) n + k words of it that fewest bodies hold, the larger one has k or more, for any k; with k a tenth of n few pairs get so far by
+    chance, and those are compared in full. No pair is lost, and no word is passed over for being common.
     Each body stands for its copies by its smallest id.
     """
     c = min(overlap, 2 * jaccard / (1 + jaccard))
@@ -72,16 +75,22 @@ def alike_pairs(documents: DataFrame, id_col: str, text_col: str, jaccard: float
     held = sets.select(F.explode("s").alias("k")).groupBy("k").agg(F.count("*").alias("held"))
     order = sets.select("id", "n", F.explode("s").alias("k")).join(held, "k").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "k"))).alias("o"))
     placed = checkpointed(order.select("id", "n", F.posexplode("o").alias("place", "x")).select("id", "n", "place", "x.k", "x.held").filter("held > 1"))
-    small = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(c) * F.col("n") - F.lit(1e-9))).alias("a")
-    large = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(floor) * F.col("n") - F.lit(1e-9))).alias("b")
+    more = F.ceil(F.lit(0.1) * F.col("n"))
+    small = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(c) * F.col("n") - F.lit(1e-9)) + more - 1).withColumn("more", more).alias("a")
+    large = placed.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
-    need = F.greatest(F.lit(c) * na, F.lit(floor / (1 + floor)) * (na + nb)) - F.lit(1e-9)
     smaller = (na < nb) | ((na == nb) & (F.col("a.id") < F.col("b.id")))
-    near = small.join(large, (F.col("a.k") == F.col("b.k")) & smaller).filter((na >= F.lit(floor) * nb - 1e-9) & (F.least(na - F.col("a.place"), nb - F.col("b.place")) >= need))
-    pairs = near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-    side = lambda n: sets.select(F.col("id").alias(n), F.col("s").alias(f"s{n}"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shared.alias("shared"), F.size("sa").alias("m"), F.size("sb").alias("n"))
+    met = small.join(large, (F.col("a.k") == F.col("b.k")) & smaller & (na >= F.lit(floor) * nb - 1e-9)).groupBy(F.col("a.id").alias("p"), F.col("b.id").alias("q"), "a.more").agg(F.count("*").alias("m"))
+    pairs = met.filter("m >= more").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    few = (sets.agg(F.sum("n")).first()[0] or 0) <= SENT
+    sent = lambda df: F.broadcast(df) if few else df
+    side = lambda n: sent(sets.select(F.col("id").alias(n), F.col("s").alias(f"s{n}")))
+    # one look at a pair's words tells it: what they must share follows from the sizes alone
+    m, n = F.size("sa"), F.size("sb")
+    least = F.lit(jaccard / (1 + jaccard)) * (m + n)
+    other = F.greatest(F.lit(overlap) * F.least(m, n), F.lit(floor / (1 + floor)) * (m + n))
+    need = F.when(F.greatest(m, n) <= F.lit(ratio) * F.least(m, n), F.least(least, other)).otherwise(least) - F.lit(1e-9)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("sa", "sb")) >= need)
+    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), m.alias("m"), n.alias("n"))
     j, o = F.col("shared") / (F.col("m") + F.col("n") - F.col("shared")), F.col("shared") / F.least("m", "n")
-    big = F.greatest("m", "n") / F.least("m", "n")
-    return both.select("a", "b", F.col("shared").cast("bigint").alias("shared"), j.alias("jaccard"), o.alias("overlap"), (big <= ratio).alias("near_size")).filter((F.col("jaccard") >= jaccard) | ((F.col("overlap") >= overlap) & F.col("near_size") & (F.col("jaccard") >= floor))).drop("near_size")
+    return counted.select("a", "b", F.col("shared").cast("bigint").alias("shared"), j.alias("jaccard"), o.alias("overlap"))
