@@ -104,3 +104,59 @@ def article_sections(articles: DataFrame, id_col: str = "article_id", body_col:
 def article_chunks(articles: DataFrame, id_col: str = "article_id", body_col: str = "body") -> DataFrame:
     """One row per chunk: id, n from 1, title, level and byte range. No shuffle."""
     return _each(articles, id_col, body_col, chunks_of, CHUNK)
+
+
+def toc_chunks_of(body: str, titles: list[str], most: int = 24 * 1024) -> list[dict]:
+    """Chunks of a body by a table of contents: each chapter from the line that is its title (a heading's marks don't count) to the next one found.
+
+    Titles are sought in order, each after the one before; fewer than half found gives no chunks, so the caller cuts by headings. Text before
+    the first is "(front)"; a chapter over ``most`` bytes is cut between paragraphs.
+    """
+    raw, at, found = body.encode(), 0, []
+    for title in titles:
+        want = title.strip()
+        m = re.compile(rb"(?m)^(?:#{1,6}[ \t]+)?" + re.escape(want.encode()) + rb"[ \t]*\r?$").search(raw, at) if want else None
+        if m:
+            found.append((m.start(), want))
+            at = m.end()
+    if not found or 2 * len(found) < len(titles):
+        return []
+    if found[0][0] > 0:
+        found.insert(0, (0, "(front)"))
+    out = []
+    for (start, title), end in zip(found, [f[0] for f in found[1:]] + [len(raw)], strict=True):
+        parts = _by_paragraphs(raw, start, end, most)
+        out += [{"title": title if len(parts) == 1 else f"{title} (part {i}/{len(parts)})", "level": 1, "start": a, "end": b} for i, (a, b) in enumerate(parts, 1)]
+    return out
+
+
+def toc_chunks(articles: DataFrame, id_col: str = "article_id", body_col: str = "body", toc_col: str = "toc") -> DataFrame:
+    """One row per chunk of articles with a table of contents (an array of titles); those of which too little is found have none. No shuffle."""
+    kind = articles.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [toc_chunks_of(t, [x for x in toc if x]) if t is not None and toc is not None else [] for t, toc in zip(b["t"], b["toc"], strict=True)]
+            yield pd.DataFrame({"k": b["k"], "x": made})
+
+    rows = articles.select(F.col(id_col).alias("k"), F.col(body_col).cast("string").alias("t"), F.col(toc_col).alias("toc")).mapInPandas(run, f"k {kind}, x {CHUNK}")
+    return rows.select(F.col("k").alias(id_col), F.posexplode("x").alias("n", "x")).select(id_col, (F.col("n") + 1).alias("n"), "x.*")
+
+
+SIDECAR_VERSION = 1
+
+
+def write_sidecars(articles: DataFrame, path: str, id_col: str = "rel", body_col: str = "body") -> None:
+    """Writes the sections of articles, one row an article, with the version of their form and a digest of the body; articles without
+    headings have no row, so theirs from before are gone."""
+    sections = article_sections(articles, id_col, body_col)
+    rest = [c for c in sections.columns if c not in (id_col, "n")]
+    kept = sections.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("n", *rest))).alias("sections"))  # as many as one article has headings
+    digests = articles.select(id_col, F.sha2(F.col(body_col), 256).alias("sha")).groupBy(id_col).agg(F.max("sha").alias("sha"))
+    kept.join(digests, id_col).withColumn("version", F.lit(SIDECAR_VERSION)).write.mode("overwrite").parquet(path)
+
+
+def fresh_sidecars(sidecars: DataFrame, articles: DataFrame, id_col: str = "rel", body_col: str = "body") -> DataFrame:
+    """Sidecars of this version that are of the body an article has now."""
+    now = articles.select(id_col, F.sha2(F.col(body_col), 256).alias("sha")).distinct()
+    return sidecars.filter(F.col("version") == SIDECAR_VERSION).join(now, [id_col, "sha"], "left_semi")

@@ -14,6 +14,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quernel.functions.frontmatter import parse_front
+
 COMPARE = {"eq": "__eq__", "ne": "__ne__", "lt": "__lt__", "le": "__le__", "gt": "__gt__", "ge": "__ge__"}
 OPERATORS = (*COMPARE, "in", "has", "exists", "missing", "contains")
 
@@ -135,3 +137,35 @@ def markdown_table(columns: Sequence[str], rows: Sequence[Sequence[str]]) -> str
     clean = lambda v: str(v).replace("|", "\\|").replace("\r", "").replace("\n", " ")
     lines = ["| " + " | ".join(map(clean, columns)) + " |", "|" + "---|" * len(columns)]
     return "\n".join(lines + ["| " + " | ".join(map(clean, r)) + " |" for r in rows])
+
+
+def load_view(text: str) -> View:
+    """A view from its YAML: columns (one at least), filter, sort (a list of {field, dir} or of names, a leading - for descending) and limit.
+
+    Raises ValueError for what isn't one.
+    """
+    raw = parse_front(text)
+    columns = raw.get("columns")
+    if not isinstance(columns, list) or not columns:
+        raise ValueError("a view needs columns")
+    sort = []
+    for s in raw.get("sort") or []:
+        if isinstance(s, dict):
+            name, direction = s.get("field"), s.get("dir", "asc")
+        else:
+            name, direction = str(s).lstrip("-"), "desc" if str(s).startswith("-") else "asc"
+        if not name or direction not in ("asc", "desc"):
+            raise ValueError(f"a sort needs a field, and asc or desc: {s!r}")
+        sort.append((str(name), direction))
+    limit = raw.get("limit") or 0
+    if not isinstance(limit, int) or limit < 0:
+        raise ValueError("a limit is a number from 0 on")
+    return View([str(c) for c in columns], raw.get("filter") or {}, sort, limit)
+
+
+def write_view(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """A view's rows as files: json (a row a line) or csv (with a header), written over what was there."""
+    if kind not in ("json", "csv"):
+        raise ValueError(f"no sink {kind!r}")
+    writer = rows.write.mode("overwrite")
+    writer.json(path) if kind == "json" else writer.option("header", True).option("escape", '"').csv(path)

@@ -201,6 +201,16 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.explode(X.token_set(F.col("n"))).alias("token")).groupBy("token").agg(F.count("*").alias("held"))
 
 
+@query("""with t as (select min(entry_id) as id, n from (select entry_id, """ + _NORMAL.format(c="note") + """ as n from queue_entries where note is not null) where n <> '' group by n),
+w as (select id, list_filter(regexp_split_to_array(n, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from t),
+k as (select id, unnest(list_distinct(list_transform(generate_series(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 2], ' ')))) as k from w),
+c as (select id, count(*) as n from k group by 1), p as (select x.id as a, y.id as b, count(*) as m from k x join k y on x.k = y.k and x.id < y.id group by 1, 2)
+select a, b, m / (ca.n + cb.n - m) as similarity from p join c ca on ca.id = a join c cb on cb.id = b where m / (ca.n + cb.n - m) >= 0.5""")
+def near_dup_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Links between different notes of the queue: runs of three words and a similarity of a half, as notes are short."""
+    return dedup.near_links(table(spark, d, "queue_entries"), "entry_id", "note", words=3, threshold=0.5)
+
+
 _EDGES = """edges as (select distinct rel as src, trim(l) as dst from (select rel, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(body, '(?s)```.*?(?:```|\\z)', ' ', 'g'), '``[^`]*``', ' ', 'g'), '`[^`\\n]*`', ' ', 'g'), '\\[\\[([^\\]\\[|]+)(?:\\|[^\\]]*)?\\]\\]', 1)) as l from articles) where trim(l) <> '')"""
 
 
@@ -318,10 +328,10 @@ def tag_counts(spark: SparkSession, d: str) -> DataFrame:
     return tags.groupBy("tag").agg(F.count_distinct("article_id").alias("articles")).filter("articles >= 2")
 
 
-@query("select name, count(*) as n from (select unnest(regexp_extract_all(text, '\\b(?:Mr|Mrs|Ms|Dr|Prof)\\. ([A-Z][a-z]+)', 1)) as name from documents) group by 1 having count(*) >= 3")
+@query("select name, count(*) as n from (select unnest(regexp_extract_all(text, '(?:Mr|Mrs|Ms|Mme|Dr|Prof|Hr|Fr|Sr|Sra)\\. (\\p{Lu}\\p{L}+)', 1)) as name from documents) group by 1 having count(*) >= 3")
 def mention_counts(spark: SparkSession, d: str) -> DataFrame:
     """Names after a title, with how often each is mentioned; three times at least."""
-    names = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("\\b(?:Mr|Mrs|Ms|Dr|Prof)\\. ([A-Z][a-z]+)"), F.lit(1))).alias("name"))
+    names = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?:Mr|Mrs|Ms|Mme|Dr|Prof|Hr|Fr|Sr|Sra)\\. (\\p{Lu}\\p{L}+)"), F.lit(1))).alias("name"))
     return names.groupBy("name").agg(F.count("*").alias("n")).filter("n >= 3")
 
 
@@ -430,10 +440,10 @@ def first_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.first_sentence(F.col("text")).alias("lead"))
 
 
-@query("""select name, count(*) as n from (select unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b')) as name from documents) where not regexp_matches(name, '[a-z][A-Z]') group by 1 having count(*) >= 3""")
+@query("""select name, count(*) as n from (select unnest(regexp_extract_all(text, '\\p{Lu}\\p{L}+(?: \\p{Lu}\\p{L}+){1,3}')) as name from documents) where not regexp_matches(name, '\\p{Ll}\\p{Lu}') and len(list_filter(string_split(name, ' '), lambda w: regexp_matches(w, '^\\p{Lu}{2,}$'))) <= 2 group by 1 having count(*) >= 3""")
 def person_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of words that look like a person's name, mentioned three times or more."""
-    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("\\b[A-Z][a-z]+ [A-Z][a-z]+\\b"), F.lit(0))).alias("name"))
+    """Two to four words that look like a person's name, in any script with capitals, mentioned three times or more."""
+    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("\\p{Lu}\\p{L}+(?: \\p{Lu}\\p{L}+){1,3}"), F.lit(0))).alias("name"))
     return found.filter(looks_like_person(F.col("name"))).groupBy("name").agg(F.count("*").alias("n")).filter("n >= 3")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quernel.functions import frontmatter as M, queue as Q, text as X
 from quernel.operators import dedup, lint, relations as R, scope, segment
 from quernel.plans.corpus import SQL as CORPUS_SQL
-from quernel.session import table
+from quernel.session import own_folder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -372,3 +372,20 @@ def knowledge_scan(spark: SparkSession, d: str) -> DataFrame:
     """How often each document tells of decisions, measurements and tools."""
     a, b, c = Q.knowledge_marks(F.col("text"))
     return table(spark, d, "documents").filter("text is not null").select("doc_id", a.cast("bigint").alias("decisions"), b.cast("bigint").alias("quantities"), c.cast("bigint").alias("tools"))
+
+
+@query("with s as (select article_id, body, regexp_extract_all(body, '(?m)^#{1,3}[ \\t]+(\\S.*?)[ \\t]*\\r?$', 1) as toc from articles where body is not null) select article_id, len(toc) as titles from s where len(toc) > 0")
+def chunks_by_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Articles cut by a table of contents, which here lists their own headings: as many chapters as titles."""
+    toc = F.regexp_extract_all("body", F.lit("(?m)^#{1,3}[ \\t]+(\\S.*?)[ \\t]*\\r?$"), F.lit(1))
+    chunks = segment.toc_chunks(_articles(spark, d).filter("body is not null").withColumn("toc", toc))
+    return chunks.filter("title <> '(front)' and not title rlike '[(]part ([2-9]|[0-9]{2,})/[0-9]+[)]$'").groupBy("article_id").agg(F.count("*").alias("titles"))
+
+
+@query("with n as (select rel, count(*) as rows from articles group by 1), s as (select rel, len(regexp_extract_all(body, '(?:^|\\n)#{1,3}[ \\t]+\\S')) as k from articles where body is not null) select rel, k as sections from s join n using (rel) where rows = 1 and k > 0")
+def sidecars(spark: SparkSession, d: str) -> DataFrame:
+    """Section sidecars written and read back, of paths that one article has: how many sections each lists."""
+    path = own_folder(spark, "sidecars")
+    once = _articles(spark, d).groupBy("rel").agg(F.count("*").alias("n"), F.max("body").alias("body")).filter("n = 1").drop("n")
+    segment.write_sidecars(once, path)
+    return segment.fresh_sidecars(spark.read.parquet(path), once).select("rel", F.size("sections").cast("bigint").alias("sections"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+FEW = 100_000  # keys of a micro-batch up to this number are sent to every executor, more are joined
+
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_a_batch: int = 16) -> DataFrame:
     """New Parquet files of a folder as a stream, so many a micro-batch."""
@@ -36,11 +38,17 @@ def watch(stream: DataFrame, checkpoint: str, seen: str, key: str, accept: Calla
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
         if number > 0:
-            known = spark.read.schema(batch.select(key).schema).option("basePath", seen).parquet(*[f"{seen}/batch={n}" for n in range(number)])
+            # folders of earlier batches, pruned by their number; only keys that this batch has are looked at, and they are sent if they are few
+            known = spark.read.schema(f"`{key}` {batch.schema[key].dataType.simpleString()}, batch bigint").parquet(seen).filter(F.col("batch") < number).select(key)
+            keys = fresh.select(key)
+            few = keys.limit(FEW + 1).count() <= FEW
+            known = known.join(F.broadcast(keys) if few else keys, key, "left_semi").distinct()
             fresh = fresh.join(known, key, "left_anti")
         fresh = fresh.persist()
-        accept(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        fresh.select(key).write.mode("overwrite").parquet(f"{seen}/batch={number}")
-        fresh.unpersist()
+        try:
+            accept(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            fresh.select(key).write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        finally:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

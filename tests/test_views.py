@@ -48,3 +48,18 @@ def test_numeric_filters_reach_the_scan(spark, small):
     df = spark.read.parquet(f"{small}/orders.parquet")
     plan = run_view(df, View(["o_orderkey"], {"field": "o_totalprice", "op": "gt", "value": 1000}), "o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,1000" in plan and "o_orderdate" not in plan
+
+
+def test_load_view(tmp_path, spark):
+    from quernel.operators.views import load_view, write_view
+
+    view = load_view("columns: [title, weight]\nfilter:\n  and:\n    - field: type\n      op: eq\n      value: decision\n    - not: {field: status, op: missing}\nsort:\n  - field: weight\n    dir: desc\n  - title\nlimit: 3\n")
+    assert view.columns == ["title", "weight"] and view.sort == [("weight", "desc"), ("title", "asc")] and view.limit == 3
+    rows = run_view(spark.createDataFrame([ROW, ("b.md", 'q "x", y', "decision", None, 3, None, None)], SCHEMA), view, "rel")
+    assert [tuple(r) for r in rows.collect()] == [("a.md", "Foo", "10")]
+    for kind in ("json", "csv"):
+        write_view(rows, str(tmp_path / kind), kind)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == spark.read.json(str(tmp_path / "json")).count() == 1
+    for bad in ("limit: 3", "columns: []", "columns: [a]\nsort:\n  - {field: a, dir: up}", "columns: [a]\nlimit: -1", "columns: [a]\nfilter: {field: a, op: like, value: 1}"):
+        with pytest.raises(ValueError):
+            load_view(bad)
