@@ -66,8 +66,9 @@ def _plain(s: str) -> str:
 def page_key(url: str | None, depth: int = 0) -> str | None:
     """What selects the page in an address; None for a null or blank one.
 
-    Left out: scheme, case and default port of the host, www. and mobile hosts' m., user names, relays that carry the address
-    in a parameter, repeated slashes, dot segments, index pages, trailing slashes, order and repetition of parameters,
+    Left out: scheme (a page is taken to be the same under http and https), case and default port of the host, www. and the names of mobile
+    versions (m., mobile., amp.) before a host of two parts or more, user names, relays that carry the address in a parameter (also a front
+    page, though not by its q, which is a search), repeated slashes, dot segments, index pages, trailing slashes, order and repetition of parameters,
     tracking parameters and fragments within a page. Kept: path case, all other parameters and routes in the fragment.
     """
     if url is None:
@@ -90,7 +91,7 @@ def page_key(url: str | None, depth: int = 0) -> str | None:
     if depth < 5 and parts.path.rstrip("/").lower() in RELAYS:
         for p in query:
             name, _, value = p.partition("=")
-            if name.lower() in CARRIERS:
+            if name.lower() in CARRIERS and not (name.lower() == "q" and parts.path.strip("/") == ""):
                 inner = unquote(value)
                 while inner != (again := unquote(inner)) and not re.match("https?://", inner, re.I):
                     inner = again
@@ -233,8 +234,8 @@ def _candidates(a: DataFrame, b: DataFrame, threshold: float, within: bool) -> D
 def _similar(pairs: DataFrame, p_sets: DataFrame, q_sets: DataFrame, threshold: float) -> DataFrame:
     """Those pairs whose sets are as similar as the threshold asks, both ways round."""
     both = pairs.join(p_sets.select(F.col("note").alias("p"), F.col("triples").alias("tp")), "p").join(q_sets.select(F.col("note").alias("q"), F.col("triples").alias("tq")), "q")
-    shared = F.size(F.array_intersect("tp", "tq"))
-    similar = both.filter(shared >= F.lit(threshold) * (F.size("tp") + F.size("tq") - shared) - F.lit(1e-9))
+    need = F.lit(threshold / (1 + threshold)) * (F.size("tp") + F.size("tq")) - F.lit(1e-9)
+    similar = both.filter(F.size(F.array_intersect("tp", "tq")) >= need)
     return similar.select(F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))).alias("x")).select("x.*")
 
 

@@ -137,3 +137,8 @@ def test_small_batches_leave_the_history_where_it_lies(spark, tmp_path):
         assert not [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and "Broadcast" not in x]
     found = batchdedup._candidates(F.broadcast(probes), stored.postings, 0.5, within=False)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in found and "BroadcastHashJoin" in found
+
+
+def test_a_search_is_no_relay():
+    assert page_key("https://a.example/?q=https%3A%2F%2Fb.example%2Fp") != page_key("https://b.example/p")
+    assert page_key("https://a.example/?url=https%3A%2F%2Fb.example%2Fp") == page_key("https://a.example/url?q=https%3A%2F%2Fb.example%2Fp") == page_key("https://b.example/p")
