@@ -61,7 +61,7 @@ def test_class_of_anything(text):
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
-        # written before the rules, on no table
+        # no table holds these; those a review named were known when the rules were written
         *[(t, ("notice",)) for t in (
             "Page not found", "The long-lost page was not found.", "Error #: page-not-found", "This domain has been parked", "Your browser is out of date", "Proxy error", "Database connection error", "Under construction",
             "Sorry, we can't find the page you are looking for.", "Access to this resource is forbidden.", "Your session has expired, please log in again.", "You must enable JavaScript to use this application.",
