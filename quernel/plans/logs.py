@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quernel.functions import queue as Q, text as X
 from quernel.functions.markup import looks_like_person
 from quernel.functions.times import instant_micros
-from quernel.operators import intake, ledgers, runs as U, sessions as S
+from quernel.operators import graph, intake, ledgers, reports as P, runs as U, sessions as S
 from quernel.session import table
 
 QUERIES: dict = {}
@@ -250,3 +250,87 @@ def pages_stripped(spark: SparkSession, d: str) -> DataFrame:
     page = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title><style>p { x: y }</style></head><body><script>let x = '<p>';</script><p>"), safe(F.col("content")), F.lit("</p></body></html>"))
     body = F.regexp_replace(page, "(?is)<title>.*?</title>", "")
     return table(spark, d, "fetches").select("fetch_id", X.strip_html(body).alias("text"), X.html_title(page).alias("title"))
+
+
+@query("""with s as (select 'session' as section, project_path as key, updated_at as "at", session_id as text from sessions where project_path is not null and updated_at is not null), a as (select 'article', domain, cast(strftime(synced_at, '%Y-%m-%d') as varchar), rel from articles where domain is not null and synced_at is not null),
+n as (select *, row_number() over (partition by section, key order by "at" desc, text desc) as k from (select * from s union all select * from a)), p as (select *, row_number() over (partition by section order by "at" desc, key) as place from n where k = 1) select section, place, key, "at", text from p where place <= 5""")
+def hot_cache(spark: SparkSession, d: str) -> DataFrame:
+    """The hot cache: the five projects and domains touched last, each by its newest session or article; the report's limit."""
+    s, a = table(spark, d, "sessions"), table(spark, d, "articles")
+    rows = P.report(
+        P.top_of(s, "session", F.col("project_path"), F.col("updated_at"), F.col("session_id"), 5), P.top_of(a, "article", F.col("domain"), F.date_format("synced_at", "yyyy-MM-dd"), F.col("rel"), 5)
+    )
+    return rows.withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("""with f as (select (select count(*) from sessions where summary is null) as unsummed, (select count(*) from rollout_lines where payload is null or not json_valid(payload)) as broken, (select count(*) from cost_entries where err_kind = 'timeout') as timeouts)
+select 'unsummed' as name, unsummed as n, case when unsummed <= 0 then 'ok' else 'warn' end as status from f union all select 'broken', broken, case when broken <= 1000000 then 'ok' else 'warn' end from f union all select 'timeouts', timeouts, case when timeouts <= 10 then 'ok' else 'warn' end from f""")
+def doctor_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of a corpus's tables against bounds."""
+    broken = table(spark, d, "rollout_lines").filter(F.try_parse_json("payload").isNull())
+    n = P.figures(unsummed=table(spark, d, "sessions").filter("summary is null"), broken=broken, timeouts=table(spark, d, "cost_entries").filter("err_kind = 'timeout'"))
+    return P.checks(n, {"unsummed": 0, "broken": 1_000_000, "timeouts": 10})
+
+
+@query("""with u as (select cast(l_suppkey as varchar) as author, 'p' || l_partkey as path, case when l_returnflag = 'N' then 'A' else 'M' end as status from lineitem), f as (select author, path, bool_or(status = 'A') as a, bool_or(status = 'M') as m from u group by 1, 2)
+select author, count(*) filter (where a) as added, count(*) filter (where m and not a) as updated from f group by 1""")
+def digest_activity(spark: SparkSession, d: str) -> DataFrame:
+    """A digest's activity: different files added and only updated by author, lines standing for changes."""
+    c = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("author"), F.concat(F.lit("p"), "l_partkey").alias("path"), F.when(F.col("l_returnflag") == "N", "A").otherwise("M").alias("status"))
+    return intake.author_activity(c)
+
+
+@query("select l_orderkey as batch, count(distinct l_partkey) as files, cast(sum(l_quantity) as bigint) as added, cast(sum(l_linenumber) as bigint) as deleted from lineitem group by 1")
+def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Files and lines by batch, orders standing for batches."""
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("path"), F.col("l_quantity").cast("bigint").alias("added"), F.col("l_linenumber").cast("bigint").alias("deleted"))
+    return P.batch_outcomes(c)
+
+
+@query("select s.session_id from sessions s where project_path in (select project_path from sessions group by 1 having count(*) > 2) and updated_at >= '2026-03-01'")
+def approved_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of approved projects (those with more than two) since a day."""
+    s = table(spark, d, "sessions")
+    n = s.groupBy(F.col("project_path").alias("path")).agg(F.when(F.count("*") > 2, F.lit(None).cast("string")).otherwise("pending").alias("status"))
+    return P.approved_sessions(s, n, F.lit("2026-03-01")).select("session_id")
+
+
+@query("""with n as (select article_id as page, trim(t) as target, count(*) as n from (select article_id, unnest(regexp_extract_all('`[[Code]]` ' || body, '\\[\\[([^\\]\\[|]+)(?:\\|[^\\]]*)?\\]\\]', 1)) as t from articles) group by 1, 2),
+r as (select article_id as page, trim(t) as target, count(*) as n from (select article_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace('`[[Code]]` ' || body, '(?s)```.*?(?:```|\\z)', ' ', 'g'), '``[^`]*``', ' ', 'g'), '`[^`\\n]*`', ' ', 'g'), '\\[\\[([^\\]\\[|]+)(?:\\|[^\\]]*)?\\]\\]', 1)) as t from articles) group by 1, 2)
+select n.page, n.target, n.n as naive, coalesce(r.n, 0) as real from n left join r on n.page = r.page and n.target = r.target where n.n <> coalesce(r.n, 0)""")
+def link_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Links that only a scan of the whole text finds; each body gets one in code."""
+    a = table(spark, d, "articles").withColumn("body", F.concat(F.lit("`[[Code]]` "), "body"))
+    return P.link_diff(a, page="article_id")
+
+
+@query("select fetch_id, case when lower(trim(via)) = 'stub' then 'stub' when lower(trim(via)) = 'fxtwitter' then 'brief' else case when w <= 80 then 'stub' when w <= 199 then 'brief' when w <= 1999 then 'standard' else 'deep' end end as tier from (select fetch_id, via, case when trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')) = '' then 0 else len(string_split(trim(regexp_replace(content, '\\s+', ' ', 'g')), ' ')) end as w from fetches)")
+def raw_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Index tiers of fetched pages, by how they were fetched and how long they are."""
+    f = table(spark, d, "fetches")
+    return f.select("fetch_id", P.raw_tier(F.lit(None).cast("string"), F.col("via"), X.index_tier(X.word_count(F.col("content")), F.lit(0))).alias("tier"))
+
+
+@query("select doc_id, case when kind = 'wiki' then len(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), '- '))) else len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '### '))) end as items from documents where text is not null")
+def proposal_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of documents as files of proposals, flat lists or headed blocks."""
+    t = table(spark, d, "documents").filter("text is not null")
+    return t.select("doc_id", P.proposal_items(F.col("text"), F.coalesce(F.col("kind") == "wiki", F.lit(False))).cast("bigint").alias("items"))
+
+
+@query("select session_id, id from messages where sequence > 3 and session_id in (select id from sessions where provider = 'codex' or starts_with(regexp_extract(project_path, '[^/]*$'), 'l')) and id is not null")
+def messages_to_self(spark: SparkSession, d: str) -> DataFrame:
+    """Messages after a point in the chats of some handles, of which a chat may have several."""
+    s = table(spark, d, "sessions")
+    chats = s.select(F.col("id").alias("chat"), F.coalesce("provider", F.lit("none")).alias("handle")).union(s.select("id", F.substring_index("project_path", "/", -1)))
+    handles = chats.select("handle").filter("handle is not null").distinct().withColumn("address", F.when((F.col("handle") == "codex") | F.col("handle").startswith("l"), "me").otherwise("other"))
+    m = table(spark, d, "messages").select("id", F.col("session_id").alias("chat"), F.col("sequence").alias("at"))
+    return P.messages_to_self(m, chats, handles, ["me"], F.lit(3)).select(F.col("chat").alias("session_id"), "id")
+
+
+@query("with p as (select distinct article_id as src, trim(l) as dst from (select article_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(body, '(?s)```.*?(?:```|\\z)', ' ', 'g'), '``[^`]*``', ' ', 'g'), '`[^`\\n]*`', ' ', 'g'), '\\[\\[([^\\]\\[|]+)(?:\\|[^\\]]*)?\\]\\]', 1)) as l from articles where type = 'decision') where trim(l) <> '') select src, dst from p where dst not in (select title from articles where type <> 'decision' and title is not null)")
+def missing_when_promoted(spark: SparkSession, d: str) -> DataFrame:
+    """Links of decisions that would lead nowhere in a corpus of all other articles."""
+    a = table(spark, d, "articles")
+    edges = graph.link_edges(a.filter("type = 'decision'"), src="article_id")
+    return P.missing_in_target(edges, a.filter("type <> 'decision' and title is not null"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+T = TypeVar("T")
 SCHEMA = "id string, url string, title string, tags array<string>, added string, public boolean"
 #: How a named service is asked: (settings, cursor, most) gives its items after the cursor in order, and the next cursor.
 Fetch = Callable[[dict, str, int], tuple[list[dict], str]]
@@ -39,6 +43,21 @@ def from_folder(options: dict, cursor: str, most: int) -> tuple[list[dict], str]
     return items, cursor
 
 
+def with_retry(ask: Callable[[], T], attempts: int = 4, first: float = 0.2, most: float = 10.0, wait: Callable[[float], None] = time.sleep) -> T:
+    """What ask gives; after a timeout or a broken connection it is asked again, after waits that double up to most, each a random part of a half longer or
+    shorter. Other errors, and the last one, are raised."""
+    delay = first
+    for k in range(attempts):
+        try:
+            return ask()
+        except (TimeoutError, ConnectionError):
+            if k == attempts - 1:
+                raise
+            wait(delay * random.uniform(0.5, 1.5))
+            delay = min(delay * 2, most)
+    raise ValueError("attempts must be 1 or more")
+
+
 def _rows(items: list[dict]) -> Iterator[tuple]:
     for x in items:
         yield tuple(x.get(c) for c in ("id", "url", "title", "tags", "added", "public"))
@@ -54,7 +73,7 @@ class _Batch(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         cursor, most = self.options.get("cursor", ""), int(self.options.get("pageSize", "1000"))
         while True:
-            items, following = self.fetch(self.options, cursor, most)
+            items, following = with_retry(lambda at=cursor: self.fetch(self.options, at, most))
             yield from _rows(items)
             if following == cursor:
                 return
@@ -69,13 +88,13 @@ class _Stream(SimpleDataSourceStreamReader):
         return {"cursor": self.options.get("cursor", "")}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        items, following = self.fetch(self.options, start["cursor"], int(self.options.get("pageSize", "1000")))
+        items, following = with_retry(lambda: self.fetch(self.options, start["cursor"], int(self.options.get("pageSize", "1000"))))
         return iter(list(_rows(items))), {"cursor": following}  # what is read here goes to the tasks as it is
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         cursor = start["cursor"]
         while cursor < end["cursor"]:
-            items, following = self.fetch(self.options, cursor, int(self.options.get("pageSize", "1000")))
+            items, following = with_retry(lambda at=cursor: self.fetch(self.options, at, int(self.options.get("pageSize", "1000"))))
             yield from _rows(items)
             if following == cursor:
                 return

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 FEW = 100_000  # keys of a micro-batch up to this number are sent to every executor, more are joined
@@ -52,3 +52,23 @@ def watch(stream: DataFrame, checkpoint: str, seen: str, key: str, accept: Calla
             fresh.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+class Heartbeat(StreamingQueryListener):
+    """Says how a stream goes on: each progress as (name, batch, rows in, rows a second), idle ones too, to a function of one's own."""
+
+    def __init__(self, say: Callable[[str, int, int, float], None]) -> None:
+        self.say = say
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        self.say(event.name or str(event.id), -1, 0, 0.0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        p = event.progress
+        self.say(p.name or str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond or 0.0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        self.say(str(event.id), -1, 0, 0.0)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        self.say(str(event.id), -1, 0, 0.0)
