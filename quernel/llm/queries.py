@@ -60,27 +60,29 @@ def p3_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_messages(bodies.filter("body is not null")).filter("hosts >= 3").select("message", "times", "hosts", "class")
 
 
-def _checked_loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The queue in three loads against a stored history: the batches of its first half, those after but for the last, and the last batch."""
+def _history_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue in two loads: the batches up to nine tenths of the rows become the stored history, those after them are checked against it."""
     entries = table(spark, sf_dir, "queue_entries")
-    half, last = entries.agg(F.percentile_approx("batch_no", 0.5), F.max("batch_no")).first()
-    return check_in_loads(entries, own_folder(spark, "history"), [half, last - 1] if last is not None else [])
+    most = entries.agg(F.percentile_approx("batch_no", 0.9)).first()[0]
+    return reduce(DataFrame.unionByName, check_in_loads(entries, own_folder(spark, "history"), [most] if most is not None else []))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each queued entry that repeats an accepted one, with the one it repeats; checked load by load against the stored history."""
-    checked = reduce(DataFrame.unionByName, _checked_loads(spark, sf_dir))
+    """Each queued entry that repeats an accepted one, with the one it repeats; late batches are checked against the stored history."""
+    checked = _history_and_rest(spark, sf_dir)
     return checked.filter(F.col("repeats").isNotNull()).select(F.col("repeats").alias("entry_id_a"), F.col("entry_id").alias("entry_id_b"))
 
 
 def p4_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries that are new, checked as in p4_found."""
-    return reduce(DataFrame.unionByName, _checked_loads(spark, sf_dir)).filter(F.col("repeats").isNull()).select("entry_id")
+    return _history_and_rest(spark, sf_dir).filter(F.col("repeats").isNull()).select("entry_id")
 
 
 def p4_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last batch's entries, each with the accepted entry of the stored history (or of the batch) that it repeats, or null."""
-    return _checked_loads(spark, sf_dir)[-1]
+    """The last batch's entries, each with the accepted entry that it repeats, or null: against a history of two loads, the batches of the first half and those after them."""
+    entries = table(spark, sf_dir, "queue_entries")
+    half, last = entries.agg(F.percentile_approx("batch_no", 0.5), F.max("batch_no")).first()
+    return check_in_loads(entries, own_folder(spark, "history"), [half, last - 1] if last is not None else [])[-1]
 
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
