@@ -312,6 +312,21 @@ def _edited(change: Callable[..., str], *columns: Column) -> Column:
     return run(*columns)
 
 
+def with_edits(text: Column, *edits: Callable[[str], str]) -> Column:
+    """Edits of a text, one after the other, in one pass over the column."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> str:
+            for edit in edits:
+                t = edit(t)
+            return t
+
+        return texts.map(one, na_action="ignore")
+
+    return run(text)
+
+
 def with_field(text: Column, key: str, value: Column) -> Column:
     """set_field over a column; a null value changes nothing."""
     return _edited(lambda t, v: set_field(t, key, v), text, value)

@@ -94,9 +94,11 @@ def front_repaired(spark: SparkSession, d: str) -> DataFrame:
 contains(body, '[[Index]]') or true as linked, cast(len(string_split(coalesce(body, ''), '[[Index]]')) - 1 as bigint) as had from articles""")
 def front_edited(spark: SparkSession, d: str) -> DataFrame:
     """Files with a field set, a tag added and another removed, and a link under See Also, done twice over."""
-    text = F.col("text")
-    for _ in range(2):
-        text = M.with_see_also(M.without_items(M.with_items(M.with_field(text, "index_tier", F.lit("deep")), "tags", F.array(F.lit("kept"), F.lit("dropped"))), "tags", F.array(F.lit("Dropped"))), F.lit("Index"))
+    edits = [
+        lambda t: M.set_field(t, "index_tier", "deep"), lambda t: M.edit_list(t, "tags", add=["kept", "dropped"]),
+        lambda t: M.edit_list(t, "tags", remove=["Dropped"]), lambda t: M.see_also(t, "Index"),
+    ]
+    text = M.with_edits(F.col("text"), *edits, *edits)
     rows = _files(spark, d).select("article_id", "body", text.alias("t"))
     done = rows.select("article_id", "body", "t", M.front_fields(M.front_of(F.col("t"))).alias("f"))
     folds = F.array_sort(F.array_distinct(F.transform("f.tags", lambda x: F.lower(F.trim(x)))))
