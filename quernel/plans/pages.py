@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernel.functions import frontmatter as M, queue as Q, text as X
+from quernel.functions.frontmatter import edit_list, see_also, set_field
 from quernel.operators import dedup, lint, relations as R, scope, segment
 from quernel.plans.corpus import SQL as CORPUS_SQL
 from quernel.session import own_folder, table
@@ -95,8 +96,8 @@ contains(body, '[[Index]]') or true as linked, cast(len(string_split(coalesce(bo
 def front_edited(spark: SparkSession, d: str) -> DataFrame:
     """Files with a field set, a tag added and another removed, and a link under See Also, done twice over."""
     edits = [
-        lambda t: M.set_field(t, "index_tier", "deep"), lambda t: M.edit_list(t, "tags", add=["kept", "dropped"]),
-        lambda t: M.edit_list(t, "tags", remove=["Dropped"]), lambda t: M.see_also(t, "Index"),
+        lambda t: set_field(t, "index_tier", "deep"), lambda t: edit_list(t, "tags", add=["kept", "dropped"]),
+        lambda t: edit_list(t, "tags", remove=["Dropped"]), lambda t: see_also(t, "Index"),
     ]
     text = M.with_edits(F.col("text"), *edits, *edits)
     rows = _files(spark, d).select("article_id", "body", text.alias("t"))
