@@ -45,7 +45,7 @@ def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     table(spark, sf_dir, "articles").filter("body is not null").select("article_id", "body").mapInPandas(write, "article_id bigint").write.format("noop").mode("overwrite").save()
     number = F.regexp_extract("path", "([0-9]+)\\.md$", 1).cast("bigint")
-    return split_files(spark, folder, range_bytes=RANGE).filter("piece_no = 1").select(number.alias("article_id"), "section_no")
+    return split_files(spark, folder, range_bytes=RANGE, with_text=False).filter("piece_no = 1").select(number.alias("article_id"), "section_no")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,7 +274,7 @@ def split_oversized(articles: DataFrame, id_col: str = "article_id", body_col: s
     return pieces.withColumnRenamed("k", id_col)
 
 
-def split_files(spark: SparkSession, path: str, limit: int = 6000, overlap: int = 300, range_bytes: int = 64 << 20) -> DataFrame:
+def split_files(spark: SparkSession, path: str, limit: int = 6000, overlap: int = 300, range_bytes: int = 64 << 20, with_text: bool = True) -> DataFrame:
     """The same for files of any size, each a body; the id is the path. No task reads more than a range and its halos.
 
     A file of one range is read once, a larger one twice: for the boundary table, and to emit its pieces by offset. No text is shuffled.
@@ -285,5 +285,5 @@ def split_files(spark: SparkSession, path: str, limit: int = 6000, overlap: int
     read = lambda ranges: _read_ranges(ranges, "string", range_bytes, halo)
     large = _file_ranges(files.filter(F.col("size") > range_bytes), range_bytes)
     whole = read(spread(_file_ranges(files.filter(F.col("size") <= range_bytes), range_bytes)))
-    pieces = _split(whole, lambda: read(spread(large)), lambda known: read(spread(large.join(known, ["row", "start"]))), "string", "string", sizes, True)
+    pieces = _split(whole, lambda: read(spread(large)), lambda known: read(spread(large.join(known, ["row", "start"]))), "string", "string", sizes, with_text)
     return pieces.withColumnRenamed("k", "path")
