@@ -86,6 +86,64 @@ def test_alike_pairs_as_brute_force(spark):
     assert dedup.alike_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def _alike(docs):
+    """Brute force: a, b, shared of (id, text) by different texts' smallest ids."""
+    first = {}
+    for i, t in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
+        first.setdefault(t, i)
+    sets = sorted((i, s) for t, i in first.items() if len(s := set(t.split())) >= 40)
+    want = set()
+    for a, x in sets:
+        for b, y in sets:
+            if a < b:
+                m, n, c = len(x), len(y), len(x & y)
+                if c / (m + n - c) >= 0.55 or (c / min(m, n) >= 0.7 and max(m, n) / min(m, n) <= 4 and c / (m + n - c) >= 0.3):
+                    want.add((a, b, c))
+    return want
+
+
+def _versions(rng, words, size, bases, n):
+    """Texts of random words, some of them versions of a few."""
+    base, docs = [rng.sample(words, rng.randint(45, size)) for _ in range(bases)], []
+    for i in range(n):
+        w = list(rng.choice(base)) if rng.random() < 0.7 else rng.sample(words, rng.randint(45, size))
+        for _ in range(rng.randint(0, 30)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        docs.append((f"d{i:04d}", " ".join(w[: rng.randint(30, len(w))] if rng.random() < 0.4 else w)))
+    return docs
+
+
+def test_alike_pairs_of_few_words_join_no_words(spark, monkeypatch):
+    import random
+
+    docs = _versions(random.Random(7), [f"word{i:04d}" for i in range(700)], 420, 20, 400)
+    docs += [(None, docs[0][1]), (None, "null id " * 50)]
+    df = spark.createDataFrame(docs, "k string, text string")
+    want = _alike(docs)
+    assert len(want) > 500 and any(c > 255 for _, _, c in want)
+    for block, tile, head in ((8192, 4096, 8192), (60, 37, 300), (8192, 4096, 1)):
+        for name, value in (("BLOCK", block), ("TILE", tile), ("HEAD", head)):
+            monkeypatch.setattr(dedup, name, value, raising=False)
+        pairs = dedup.alike_pairs(df, "k", "text")
+        assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got = [(r.a, r.b, r.shared) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_alike_pairs_of_one_size_and_of_many_words(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    words = [f"word{i:05d}" for i in range(90)]
+    docs = [(f"d{i:03d}", " ".join(rng.sample(words, 60))) for i in range(150)]
+    monkeypatch.setattr(dedup, "BLOCK", 20, raising=False)
+    pairs = lambda: {(r.a, r.b, r.shared) for r in dedup.alike_pairs(spark.createDataFrame(docs, "k string, text string"), "k", "text").collect()}
+    assert pairs() == _alike(docs) and len(_alike(docs)) > 500
+    docs = [(f"{g}-{k}", t) for g in range(40) for k, t in _versions(rng, [f"word{g}x{i:04d}" for i in range(400)], 60, 1, 5)]
+    monkeypatch.setattr(dedup, "RICH", 1, raising=False)  # each word is in a few texts only: they are joined
+    assert pairs() == _alike(docs) and len(_alike(docs)) > 20
+
+
 def test_names_and_lookups(spark):
     paths = spark.createDataFrame([("/a/x",), ("/b/x",), ("/c/b/x",), ("/a/y",), ("/x",)], "path string")
     names = {r.path: r.name for r in scope.display_names(paths).collect()}
