@@ -208,18 +208,28 @@ def _counted_in_blocks(sets: DataFrame, held: DataFrame, in_all: int, near: floa
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "m", "n")
 
 
+def class_sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per class of equal bodies, stored: class_id and copies (as in ``exact_classes``), s (the hashed words of ``token_set``) and n (how many)."""
+    texts = documents.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), dedup_normal(F.col(text_col)).alias("t"))
+    classes = texts.groupBy(F.sha2("t", 256).alias("h")).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("t").alias("t"))
+    hashed = F.array_distinct(F.transform(token_set(F.col("t")), lambda w: F.xxhash64(w)))
+    return checkpointed(classes.select("class_id", "copies", hashed.alias("s")).withColumn("n", F.size("s")))
+
+
 def alike_pairs(documents: DataFrame, id_col: str, text_col: str, jaccard: float = 0.55, overlap: float = 0.70, ratio: float = 4.0, floor: float = 0.30, least_tokens: int = 40) -> DataFrame:
-    """a, b, shared, jaccard, overlap: pairs of different bodies whose sets of words (``token_set`` of the normal form) are alike.
+    """a, b, shared, jaccard, overlap: pairs of different bodies whose sets of words are alike, see ``alike_classes``."""
+    return alike_classes(class_sets(documents, id_col, text_col), jaccard, overlap, ratio, floor, least_tokens)
+
+
+def alike_classes(classes: DataFrame, jaccard: float = 0.55, overlap: float = 0.70, ratio: float = 4.0, floor: float = 0.30, least_tokens: int = 40) -> DataFrame:
+    """a, b, shared, jaccard, overlap: pairs of ``class_sets`` that are alike.
 
     Alike are sets of ``least_tokens`` or more with a Jaccard similarity of jaccard, or with overlap of the smaller one's words, sizes within ratio and
     a similarity of floor. No pair is lost, and no word is passed over for being common. Where words bring most sets together, as in a small vocabulary,
     all pairs of near enough sizes are counted in blocks (``_counted_in_blocks``); where few, the words are joined (``_counted_by_words``).
     Each body stands for its copies by its smallest id; a null id is none.
     """
-    texts = documents.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), dedup_normal(F.col(text_col)).alias("t"))
-    reps = texts.groupBy(F.sha2("t", 256).alias("h")).agg(F.min(F.struct("id", "t")).alias("x"))
-    hashed = F.array_distinct(F.transform(token_set(F.col("x.t")), lambda w: F.xxhash64(w)))
-    sets = checkpointed(reps.select("x.id", hashed.alias("s")).withColumn("n", F.size("s")).filter(F.col("n") >= least_tokens))
+    sets = classes.filter(F.col("class_id").isNotNull() & (F.col("n") >= least_tokens)).select(F.col("class_id").alias("id"), "s", "n")
     held = checkpointed(sets.select(F.explode("s").alias("k")).groupBy("k").agg(F.count("*").alias("held")))
 
     def need(m, n, least, most, pick):  # noqa: ANN001, ANN202

@@ -221,8 +221,8 @@ def status_scoreboard(spark: SparkSession, d: str) -> DataFrame:
 @query("select row_number() over (order by overlap desc, a, b) as place, a, b, jaccard, overlap, classes from (select * from (" + CORPUS_SQL["duplicate_audit"] + ") order by overlap desc, a, b limit 150), (select count(distinct class_id) as classes from (" + CORPUS_SQL["exact_dup_groups"] + ") where copies > 1)")
 def duplicate_report(spark: SparkSession, d: str) -> DataFrame:
     """The duplicate report: the 150 pairs of most overlap, and how many classes of copies there are."""
-    docs = table(spark, d, "documents")
-    return lint.duplicate_report(dedup.exact_classes(docs, "doc_id", "text"), dedup.alike_pairs(docs, "doc_id", "text")).withColumn("place", F.col("place").cast("bigint"))
+    classes = dedup.class_sets(table(spark, d, "documents"), "doc_id", "text")
+    return lint.duplicate_report(classes, dedup.alike_classes(classes)).withColumn("place", F.col("place").cast("bigint"))
 
 
 ALIASES = [("field-almanac", "notes"), ("work/lazy-pier", "tools")]

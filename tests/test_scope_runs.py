@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import queue as Q
 from quernel.operators import dedup, graph, lint, ordering, relations as R, runs as U, scope, sessions as S
+from quernel.plans import pages
 
 
 def rows(df):
@@ -144,6 +145,21 @@ def test_alike_pairs_of_one_size_and_of_many_words(spark, monkeypatch):
     assert pairs() == _alike(docs) and len(_alike(docs)) > 20
 
 
+def test_duplicate_report_reads_texts_once(spark, tmp_path):
+    import random
+
+    docs = _versions(random.Random(9), [f"word{i:04d}" for i in range(300)], 200, 5, 60)
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    docs += [(100 + i, docs[i][1]) for i in range(4)] + [(None, docs[0][1]), (None, docs[5][1]), (None, "no id"), (None, "no id"), (200, None), (201, None)]
+    spark.createDataFrame(docs, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    report = pages.duplicate_report(spark, str(tmp_path))
+    assert "FileScan" not in report._jdf.queryExecution().executedPlan().toString()
+    want = sorted(_alike([(i, t) for i, t in docs if t]))
+    got = report.collect()
+    assert [r.place for r in got] == [*range(1, 1 + min(150, len(want)))] and got == sorted(got, key=lambda r: (-r.overlap, r.a, r.b))
+    assert {(r.a, r.b) for r in got} <= {(a, b) for a, b, _ in want} and {r.classes for r in got} == {5}
+
+
 def test_names_and_lookups(spark):
     paths = spark.createDataFrame([("/a/x",), ("/b/x",), ("/c/b/x",), ("/a/y",), ("/x",)], "path string")
     names = {r.path: r.name for r in scope.display_names(paths).collect()}
